@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_workers
+from .debruijn import remove_repeats
+from .jaccard import similar_groups
+from .language import language_id
+from .quality import quality_scores
 from .store import new_path
+from .suffixes import contamination
 from .token_counts import token_counts
 from .token_files import read_token_files, token_digest, write_token_files
 
@@ -24,6 +29,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the spans of 13 words or more that an earlier one has."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Encodes every document into token files, and reads those back."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
@@ -38,8 +70,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+#: Queries by name.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_suffix_decontamination, op3_token_files, op4_language_id, op6_token_counts, op7_repeated_spans, op8_quality, op10_ngram_jaccard)
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_files": op3_token_files, "op6_token_counts": op6_token_counts}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
