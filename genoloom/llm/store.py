@@ -41,9 +41,13 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The session still refers to the last query it ran; a trivial one takes its place first.
+    """
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
