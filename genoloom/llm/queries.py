@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_workers
+from .additive import nearest
 from .debruijn import remove_repeats
 from .jaccard import similar_groups
 from .language import language_id
+from .mixing import mix
+from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
 from .store import new_path
 from .suffixes import contamination
@@ -56,6 +59,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document under the network trained on all."""
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+#: Powers of the found token shares: a source with a third of all tokens is toned down the most.
+MIX = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to raked source, language and topic shares."""
+    return mix(table(spark, sf_dir, "documents"), MIX)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Encodes every document into token files, and reads those back."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
@@ -72,7 +94,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_decontamination, op3_token_files, op4_language_id, op6_token_counts, op7_repeated_spans, op8_quality, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_suffix_decontamination, op2_additive_ann, op3_token_files, op4_language_id, op5_pseudo_likelihood, op6_token_counts, op7_repeated_spans, op8_quality, op9_mixing, op10_ngram_jaccard)
 }
 
 
