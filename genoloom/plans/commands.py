@@ -54,7 +54,7 @@ def _prepare_samples(spark: SparkSession, panels: list[Panel], policy: Policy, r
     return out
 
 
-def _preflight(panels: list[Panel], policy: Policy, command: str, json_path: str | None, quiet: bool, err: TextIO) -> dict[str, Any]:
+def _preflight(panels: list[Panel], policy: Policy, command: str, json_path: str | None, quiet: bool, err: TextIO | None) -> dict[str, Any]:
     """Compares, writes the document before anything acts on it, then warns or raises."""
     compared = [pf.compare(panels[0].variants, p.variants, policy.variant_key, i, p.path) for i, p in enumerate(panels[1:], 1)]
     document = pf.report([p.path for p in panels], compared, policy, command, VERSION)
@@ -63,7 +63,7 @@ def _preflight(panels: list[Panel], policy: Policy, command: str, json_path: str
     gate = document["gate"]
     said = "; ".join(f"panel {c.input_index} ({c.path}): {c.label}" for c in compared if c.label != "compatible")
     if gate["action"] == "warn" and not quiet:
-        print(f"warning: {said}", file=err)
+        print(f"warning: {said}", file=err or sys.stderr)
     if gate["action"] == "error":
         raise ValidationFailed(f"preflight: {said}")
     return document
@@ -151,8 +151,8 @@ def merge(
     preflight_json: str | None = None,
     parquet: bool = False,
     quiet: bool = False,
-    out: TextIO = sys.stdout,
-    err: TextIO = sys.stderr,
+    out: TextIO | None = None,
+    err: TextIO | None = None,
 ) -> dict[str, Any]:
     """Binds panels into the files at ``output``; returns the run report."""
     policy, began = policy or Policy(), time.time()
@@ -176,7 +176,7 @@ def merge(
             _raise_policies(alignment, extra, policy)
             n_canonical = panels[0].variants.count()
             if extra > policy.extras_warn_threshold * n_canonical and policy.on_extra == "warn" and not quiet:
-                print(f"warning: {extra:,} variants of other panels are not in the first", file=err)
+                print(f"warning: {extra:,} variants of other panels are not in the first", file=err or sys.stderr)
             _gates(panels, alignment, extra, n_canonical, policy)
             kept = al.kept(alignment).persist()
             n_kept, n_out = kept.count(), plan.count()
@@ -204,7 +204,7 @@ def merge(
             document = _report("merge", panels, policy, counts, extra, {"n_samples": n_out, "n_variants": n_kept, "paths": {x[-4:]: x for x in triplet}}, mix, raw=True)
             if include_rows:
                 if n_kept * (len(panels) - 1) * sinks.ROW_BYTES > sinks.LARGE_REPORT and not quiet:
-                    print("warning: the report will be larger than 100 MB", file=err)
+                    print("warning: the report will be larger than 100 MB", file=err or sys.stderr)
                 document["variants"] = _report_variants(alignment)
             if report_json:
                 sinks.write_json(document, staged.path(report_json))
@@ -254,8 +254,8 @@ def validate(
     report_json: str | None = None,
     preflight_json: str | None = None,
     quiet: bool = False,
-    out: TextIO = sys.stdout,
-    err: TextIO = sys.stderr,
+    out: TextIO | None = None,
+    err: TextIO | None = None,
 ) -> dict[str, Any]:
     """Everything of merge that needs no genotypes; policies that raise there are counted here."""
     policy, began = policy or Policy(), time.time()
@@ -267,7 +267,7 @@ def validate(
         alignment, extra = _align(panels, policy)
         n_canonical = panels[0].variants.count()
         if extra > policy.extras_warn_threshold * n_canonical and not quiet:
-            print(f"warning: {extra:,} variants of other panels are not in the first", file=err)
+            print(f"warning: {extra:,} variants of other panels are not in the first", file=err or sys.stderr)
         _gates(panels, alignment, extra, n_canonical, policy)
         triggers = al.policy_triggers(alignment, extra, policy)
         if any(triggers.values()):
@@ -305,7 +305,7 @@ def afs(
     adjust: bool = True,
     include_sex_chrom: bool = False,
     quiet: bool = False,
-    out: TextIO = sys.stdout,
+    out: TextIO | None = None,
 ) -> dict[str, Any]:
     """Frequencies by population: afs_snp.tsv, afs_freq.tsv, afs_counts.tsv and a manifest."""
     chromosomes = ALL_CHROMOSOMES if include_sex_chrom else AUTOSOMES
@@ -349,12 +349,12 @@ def afs(
     return manifest
 
 
-def hash_variants(spark: SparkSession, input_path: str, emit_canonical: bool = False, out: TextIO = sys.stdout) -> str:
+def hash_variants(spark: SparkSession, input_path: str, emit_canonical: bool = False, out: TextIO | None = None) -> str:
     """Prints ``sha256:<hex>``, or the canonical text itself."""
     variants = read_panel(spark, input_path).variants
     if emit_canonical:
         for piece in fi.canonical_bytes(variants):
-            out.write(piece.decode())
+            (out or sys.stdout).write(piece.decode())
         return ""
     digest = f"sha256:{fi.variant_set_hash(variants)[0]}"
     print(digest, file=out)
