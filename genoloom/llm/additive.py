@@ -66,8 +66,8 @@ class Codebooks:
         return codes[:, 0], rest[:, 0]
 
 
-def train(sample: np.ndarray, books: int = 16, words: int = 256, rounds: int = 6, beam: int = 4, seed: int = 7) -> Codebooks:
-    """Residual k-means, then one least-squares refit of all books to the beam search's codes."""
+def train(sample: np.ndarray, books: int = 32, words: int = 256, rounds: int = 6, seed: int = 7) -> Codebooks:
+    """Residual k-means, a book at a time."""
     rng = np.random.default_rng(seed)
     rest = sample.astype(np.float32).copy()
     words = max(1, min(words, len(rest), 256))
@@ -114,7 +114,7 @@ def _pack(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return rows.select(group, *columns).groupBy(group).applyInArrow(pack, f"{group} int, " + ", ".join(f"{c} binary" for c in columns))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 16, rerank: int = 256, beam: int = 4, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 32, rerank: int = 640, beam: int = 4, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
     vectors: vec_id, embedding; is_query is a condition on vec_id.  A query's own
