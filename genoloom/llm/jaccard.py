@@ -17,7 +17,8 @@ large bucket: a few pivots are compared with its other members, what is linked
 becomes one component, and only members of different components go on to the
 next round; small remainders are compared in full.  So no link between
 components is lost, and a bucket of near copies costs one comparison a member.
-Each candidate is verified on the whole sets.
+A candidate whose histograms of elements allow enough overlap is verified on the
+whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ SKETCH_BITS = 17
 SCAN_COST = 8
 #: Largest size that is ever light.
 MOST_LIGHT = 64
+#: Bins of a set's histogram, which bounds its overlap with another.
+BINS = 128
+_FULL = 32_767
 #: A bucket is compared in full when this many comparisons a member do it.
 PER_MEMBER = 16
 #: Pivots of larger buckets: one in the first round, which joins groups of near copies, and this many later.
@@ -108,7 +112,7 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 
 def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
-    """doc_id, text_hash, n, node, prefix, subsets of every row."""
+    """doc_id, text_hash, n, node, prefix, subsets, bins of every row."""
     order_key = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
     listed = -(-percent * (light + 1) // 100)  # the smallest set that a heavy one can be similar to
 
@@ -140,15 +144,17 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                     for row, own in zip(at.tolist(), np.column_stack(got), strict=True):
                         keys[row] = own
                 per = np.array([len(x) for x in keys], dtype=np.int64)
+                bins = np.minimum(np.bincount(doc * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS), _FULL).astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)),
                         pa.array(signed(node), mask=n == 0), list_array(signed(prefix), take, pa.int64()), list_array(signed(np.concatenate(keys)) if rows else np.zeros(0, np.int64), per, pa.int64()),
+                        list_array(bins, np.full(rows, BINS), pa.int16()),
                     ],
-                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets"],
+                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins"],
                 )
 
-    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>"
+    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, schema)
 
 
@@ -184,8 +190,18 @@ def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need))
 
 
+def _may_overlap(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Those pairs u, v whose histograms allow enough common elements."""
+    left = bins.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("bins").alias("b_u"))
+    right = bins.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("bins").alias("b_v"))
+    most = F.aggregate(F.zip_with("b_u", "b_v", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda s, x: s + x)
+    open_ended = (F.array_max("b_u") == _FULL) | (F.array_max("b_v") == _FULL)
+    need = F.lit(percent) * (F.col("n_u") + F.col("n_v")) / F.lit(100 + percent)
+    return pairs.join(left, "u").join(right, "v").where(open_ended | (most >= need - F.lit(1e-9))).select("u", "v")
+
+
 def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
-    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, a row each."""
+    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, a row each."""
     spark = nodes.sparkSession
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).unionByName(
         nodes.select("node", "n", F.lit(-1).alias("pos"), F.explode("subsets").alias("key"))
@@ -221,7 +237,9 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         right = small.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "pos", "label")])
         full = left.join(right, "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_label") != F.col("v_label")) & _similar_sizes("u_", "v_", percent)).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
         pairs = star.unionByName(full).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = _verify(pairs, texts, size, percent)
+        likely = materialize(_may_overlap(pairs, nodes, percent), "jaccard-pairs")
+        release_shuffles(spark)
+        found = _verify(likely, texts, size, percent)
         stars = forest(found if stars is None else found.unionByName(stars))
         # small buckets are done; a pivot has met all others of its bucket
         buckets = large.join(pivots.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos")
@@ -245,7 +263,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     rows = materialize(_prepare(docs, size, percent, counts, boundary(sizes, percent)), "jaccard-sets")
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets")
+    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins"), "jaccard-nodes")
+    release_shuffles(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         ids = some.select("node", "doc_id", "text_hash").join(low, "node").where("doc_id = low").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
