@@ -5,8 +5,8 @@ raked: each dimension in turn is scaled to its target shares, until all hold.
 A document's probability follows from how much its cell is scaled.  Columns and
 SQL functions only.
 
-Cells are few next to documents; up to LOCAL_CELLS of them one task rakes them
-without a shuffle, by window sums over a single partition.  Beyond that each
+Cells are few next to documents; up to LOCAL_CELLS of them one task rakes them,
+a few sweeps at a time, by window sums over a single partition.  Beyond that each
 step is an aggregation and a join of the cell table.
 """
 
@@ -65,7 +65,7 @@ def _scaled(w: Column, share: Column, now: Column, total: Column) -> Column:
     return F.when(now > 0, w * share * total / now).otherwise(F.lit(0.0))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 10, tolerance: float = 1e-6, most_rounds: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 3, tolerance: float = 1e-6, most_rounds: int = 24) -> DataFrame:
     """cells (source, lang, topic, tokens) with ratio: scaled weight over token share.
 
     targets: dimension to (value, share).  A value without a target gets weight 0,
@@ -83,7 +83,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 10, t
     total = F.lit(size.t)
     for _ in range(most_rounds):
         if size.n <= LOCAL_CELLS:
-            table = table.coalesce(1)
+            table = table.repartition(1)
             for _ in range(sweeps):
                 for d in targets:
                     table = table.withColumn("w", _scaled(F.col("w"), F.col(f"share_{d}"), F.sum("w").over(Window.partitionBy(d)), total))
