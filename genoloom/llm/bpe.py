@@ -27,7 +27,7 @@ from .textkernel import _BASE, _BASE_INV, _power_table, mix64, string_chunks
 LETTER, NUMBER, SPACE, UNKNOWN = 1, 2, 3, 4
 #: Most entries of a worker's cache; it starts anew from the vocabulary beyond that.
 CACHE_ENTRIES = 1_200_000
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 
 _classes: np.ndarray | None = None
 

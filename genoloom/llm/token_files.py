@@ -27,7 +27,7 @@ from .textkernel import list_array
 
 TOKENS = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Most ids of one Arrow batch on the way back to the JVM.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 
 
 def write_token_files(
@@ -113,7 +113,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32: crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             ids = batch.column(3)
             raw = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes()
             stop = np.cumsum(batch.column(2).to_numpy()).tolist()
