@@ -13,6 +13,7 @@ from .debruijn import remove_repeats
 from .jaccard import similar_groups
 from .language import language_id
 from .mixing import mix
+from .oracles import SQL
 from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
 from .store import new_path
@@ -103,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
