@@ -10,7 +10,7 @@ is kept, so a score is a difference of two squared norms.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .textkernel import EXACT, SPACED, Words, _word_bytes, list_array, string_chunks
 
 LINES = _word_bytes([(0x0A, 0x0A)])
-_UPPER, _LOWERCASE, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
+#: Typical words added to each text's statistics.
+STEADY_WORDS = 20.0
 
 
 def _group(chars: bytes) -> np.ndarray:
@@ -115,16 +116,26 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, x array<double>")
 
 
+def steadied(x: np.ndarray, centre: np.ndarray, words: float = STEADY_WORDS) -> np.ndarray:
+    """Statistics drawn towards the centre as if ``words`` typical words were added: those of short texts are noise."""
+    n = np.expm1(x[:, :1])
+    out = centre + (x - centre) * (n / (n + words))
+    out[:, 0] = x[:, 0]
+    return out
+
+
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, inverse Cholesky factors and log terms of classes 0 and 1."""
+    """Means, inverse Cholesky factors and log terms of classes 0 and 1, over statistics steadied towards a centre."""
 
     mean: np.ndarray
     factor: np.ndarray
     constant: np.ndarray
+    centre: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1."""
+        x = x if self.centre is None else steadied(x, self.centre)
         log = [self.constant[c] - 0.5 * np.square((x - self.mean[c]) @ self.factor[c].T).sum(axis=1) for c in (0, 1)]
         return 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
 
@@ -159,8 +170,18 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_mean: float = 0.02) -> Discr
     """rows: label (0 or 1; others and nulls are left out) and x.
 
     to_pooled shrinks a class covariance towards the pooled one, to_mean towards
-    a multiple of the identity.
+    a multiple of the identity.  Two passes: the mean of all, then the moments of
+    the statistics steadied towards it.
     """
+    centre = _moments(rows, None)
+    total = centre[:, 0, 0].sum()
+    middle = centre[:, 0, 1:].sum(axis=0) / max(total, 1)
+    m = _moments(rows, middle)
+    return replace(_discriminant(m[:, 0, 0], m[:, 0, 1:], m[:, 1:, 1:], to_pooled, to_mean), centre=middle)
+
+
+def _moments(rows: DataFrame, centre: np.ndarray | None) -> np.ndarray:
+    """For each class the sums of z zᵀ, where z is 1 and the statistics."""
     d = len(FEATURES) + 1
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +189,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_mean: float = 0.02) -> Discr
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(label), d - 1)
-            z = np.column_stack([np.ones(len(label)), x])
+            z = np.column_stack([np.ones(len(label)), x if centre is None else steadied(x, centre)])
             for c in (0, 1):
                 total[c] += z[label == c].T @ z[label == c]
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), list_array(total.ravel(), np.array([d * d, d * d]), pa.float64())], ["label", "m"])
@@ -178,8 +199,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_mean: float = 0.02) -> Discr
     total = np.zeros((2, d * d))
     for row in sums.collect():  # 2 x 400 numbers
         total[row.label, row.k] = row.v
-    total = total.reshape(2, d, d)
-    return _discriminant(total[:, 0, 0], total[:, 0, 1:], total[:, 1:, 1:], to_pooled, to_mean)
+    return total.reshape(2, d, d)
 
 
 def held_out(id_col: Column) -> Column:
@@ -203,7 +223,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, to_pooled: float = 0.1, t
     from .store import materialize
 
     x = materialize(features(docs), "quality-features")
-    model = fit(_training(x, labels), to_pooled, to_mean)
+    model = fit(materialize(_training(x, labels), "quality-training"), to_pooled, to_mean)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +241,9 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, tex
     filtered in one pass without a shuffle.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    model = fit(_training(features(docs), known.withColumnRenamed("label", "quality")))
+    from .store import materialize
+
+    model = fit(materialize(_training(features(docs), known.withColumnRenamed("label", "quality")), "quality-training"))
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
