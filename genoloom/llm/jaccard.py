@@ -46,8 +46,10 @@ BINS = 128
 _FULL = 32_767
 #: A bucket is compared in full when this many comparisons a member do it.
 PER_MEMBER = 16
-#: Pivots of larger buckets: one in the first round, which joins groups of near copies, and this many later.
+#: Pivots of larger buckets: one in the first round, which joins groups of near copies, this many in the second, and four times as many in each one after.
 PIVOTS = 32
+#: Longest prefix whose entries carry a mask of the elements before them.
+MASKED = 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 
 def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
-    """doc_id, text_hash, n, node, prefix, subsets, bins of every row."""
+    """doc_id, text_hash, n, node, prefix, subsets, bins, masks of every row."""
     order_key = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
     listed = -(-percent * (light + 1) // 100)  # the smallest set that a heavy one can be similar to
 
@@ -133,6 +135,10 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                 order = np.lexsort((h, order_key[_slot(h)], doc))
                 take = np.where(n >= max(listed, 1), n - (percent * n + 99) // 100 + 1, 0)
                 prefix = h[order][np.arange(len(h)) - np.repeat(first, n) < np.repeat(take, n)]
+                masks, masked = [np.zeros(0, np.uint64)], np.where(take <= MASKED, take, 0)
+                bit = np.uint64(1) << (prefix & np.uint64(63))
+                for at, k in zip((np.cumsum(take) - take)[masked > 0].tolist(), masked[masked > 0].tolist(), strict=True):
+                    masks.append(np.append(np.uint64(0), np.bitwise_or.accumulate(bit[at : at + k])[:-1]))
                 keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * rows
                 for k in np.unique(n[(n > 0) & (n <= light)]).tolist():
                     at = np.flatnonzero(n == k)
@@ -149,12 +155,12 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                     [
                         batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)),
                         pa.array(signed(node), mask=n == 0), list_array(signed(prefix), take, pa.int64()), list_array(signed(np.concatenate(keys)) if rows else np.zeros(0, np.int64), per, pa.int64()),
-                        list_array(bins, np.full(rows, BINS), pa.int16()),
+                        list_array(bins, np.full(rows, BINS), pa.int16()), list_array(signed(np.concatenate(masks)), masked, pa.int64()),
                     ],
-                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins"],
+                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins", "masks"],
                 )
 
-    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>"
+    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>, masks array<long>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, schema)
 
 
@@ -183,10 +189,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes and places in the common order allow a link (place -1: unknown)."""
+    """Whether sizes and places in the common order allow a link (place -1: unknown).
+
+    Common elements before this one are none if the masks of both have no bit in
+    common, and otherwise as many as the shorter of both beginnings at most.
+    """
     n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
     need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    before = F.when(F.col(f"{a}mask").bitwiseAND(F.col(f"{b}mask")) == 0, 0).otherwise(F.least(i, j))
+    most = before + 1 + F.least(n - i - 1, m - j - 1)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need))
 
 
@@ -201,18 +212,17 @@ def _may_overlap(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
-    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, a row each."""
+    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, masks, a row each."""
     spark = nodes.sparkSession
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).unionByName(
-        nodes.select("node", "n", F.lit(-1).alias("pos"), F.explode("subsets").alias("key"))
-    )
+    listed = nodes.select("node", "n", "masks", F.posexplode("prefix").alias("pos", "key")).withColumn("mask", F.coalesce(F.get("masks", F.col("pos")), F.lit(-1).cast("long"))).drop("masks")
+    entries = listed.unionByName(nodes.select("node", "n", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("mask"), F.explode("subsets").alias("key")))
     shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("pos").cast("int")), "jaccard-buckets")
+    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("pos").cast("int"), "mask"), "jaccard-buckets")
     del entries, shared
     release_shuffles(spark)
     texts = materialize(texts_of(buckets.select("node").distinct()), "jaccard-texts")
     release_shuffles(spark)
-    stars = None
+    stars, n_pivots = None, 1
     while True:
         # members of each bucket that still stand for a component of their own
         if stars is None:
@@ -220,7 +230,7 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         else:
             labels = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
             open_ = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        heads = open_.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.count("*").alias("size"))
+        heads = open_.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos", "mask")).alias("head"), F.count("*").alias("size"))
         per_key = heads.groupBy("key").agg(F.sum("size").alias("members"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.count("*").alias("labels")).where("labels > 1")
         whole = (F.col("members") * F.col("members") - F.col("squares")) / 2 <= PER_MEMBER * F.col("members")
         rest = materialize(open_.join(per_key.select("key", whole.alias("whole")), "key"), "jaccard-open")
@@ -228,13 +238,13 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
             break
         # pivots: the least members of the first components of a large bucket; all others of other components meet them
         large = rest.where("not whole")
-        ranked = large.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos")).alias("head")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("head")))
-        pivots = ranked.where(F.col("rank") <= (1 if stars is None else PIVOTS)).select("key", F.col("label").alias("u_label"), F.col("head.node").alias("u"), F.col("head.n").alias("u_n"), F.col("head.pos").alias("u_pos"))
-        others = large.select("key", F.col("label").alias("v_label"), F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"))
+        ranked = large.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos", "mask")).alias("head")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("head")))
+        pivots = ranked.where(F.col("rank") <= n_pivots).select("key", F.col("label").alias("u_label"), F.col("head.node").alias("u"), F.col("head.n").alias("u_n"), F.col("head.pos").alias("u_pos"), F.col("head.mask").alias("u_mask"))
+        others = large.select("key", F.col("label").alias("v_label"), F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"), F.col("mask").alias("v_mask"))
         star = others.join(pivots, "key").where((F.col("u_label") != F.col("v_label")) & _similar_sizes("u_", "v_", percent)).select("u", "v")
         small = rest.where("whole")
-        left = small.select("key", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "pos", "label")])
-        right = small.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "pos", "label")])
+        left = small.select("key", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "pos", "mask", "label")])
+        right = small.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "pos", "mask", "label")])
         full = left.join(right, "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_label") != F.col("v_label")) & _similar_sizes("u_", "v_", percent)).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
         pairs = star.unionByName(full).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         likely = materialize(_may_overlap(pairs, nodes, percent), "jaccard-pairs")
@@ -242,7 +252,8 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         found = _verify(likely, texts, size, percent)
         stars = forest(found if stars is None else found.unionByName(stars))
         # small buckets are done; a pivot has met all others of its bucket
-        buckets = large.join(pivots.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos")
+        buckets = large.join(pivots.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos", "mask")
+        n_pivots = PIVOTS if n_pivots == 1 else 4 * n_pivots
         release_shuffles(spark)
     return stars if stars is not None else spark.createDataFrame([], "u long, v long")
 
@@ -263,7 +274,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     rows = materialize(_prepare(docs, size, percent, counts, boundary(sizes, percent)), "jaccard-sets")
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins"), "jaccard-nodes")
+    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins", "masks"), "jaccard-nodes")
     release_shuffles(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
