@@ -3,25 +3,33 @@
 A small network predicts every token from the tokens on both sides of it, never
 from the token itself: embeddings of the neighbours, a hidden layer, and a
 two-step softmax over a product code of the token (first its class, then its
-member of the class).  A document's score is the sum of the log-probabilities of
-its tokens.
+member of the class), which gives the probability of the token's slot; times the
+word's share of all words counted in its slot, that is the probability of the
+word.  A document's score is the sum of the log-probabilities of its words.
+
+Words are counted over all documents, one row a distinct word (its 64-bit hash).
+The most frequent of them, FREQUENT at most, go to all tasks; the others meet
+their counts in a join.
 
 The network is trained in numpy on all documents: each task starts from the same
 parameters and trains on its own documents; the parameters are averaged, weighted
-by tokens, with one aggregation a round.  What a round gathers grows with the
-number of tasks, and the model's size is fixed.
+by tokens, with one aggregation a round.  The network's size is fixed, the table
+of words grows with the distinct words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import LOWER, SPACED, Words, string_chunks
+from .store import materialize
+from .textkernel import LOWER, SPACED, Words, list_array, signed, string_chunks
 
 CLASS_BITS = 6
 SIDE = 1 << CLASS_BITS
@@ -38,12 +46,30 @@ _SHAPES = {
 }
 SIZE = sum(a * b for a, b in _SHAPES.values())
 CHUNK = 1024
+#: Words whose counts every task holds.
+FREQUENT = 1 << 18
+_UNIT = float(1 << 32)  # logarithms of counts are added up as whole numbers, so that their order is of no matter
+
+
+class Model(NamedTuple):
+    """Network parameters; words counted: by slot, the frequent ones (sorted hashes and log counts), and all (word, n)."""
+
+    flat: np.ndarray
+    slots: np.ndarray
+    frequent: np.ndarray
+    logs: np.ndarray
+    least: int
+    words: DataFrame
+
+
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 2 * CLASS_BITS)).astype(np.int64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token numbers of all texts in order, number of each text's): lower-cased words, hashed."""
     words = Words(data, offsets, SPACED, LOWER)
-    return (words.hash >> np.uint64(64 - 2 * CLASS_BITS)).astype(np.int64), words.counts()
+    return slot_of(words.hash), words.counts()
 
 
 def contexts(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,7 +152,7 @@ class Network:
             self._move(name, gradient, rate)
 
 
-def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> np.ndarray:
+def fit(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> np.ndarray:
     """Parameters fitted on all texts of docs, averaged over the tasks after each round; the start if there are no tokens.
 
     A first, short round over one text in ``warm_up`` (by hash) gives all tasks a
@@ -159,23 +185,73 @@ def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, wa
     return flat
 
 
-def score(docs: DataFrame, parameters: np.ndarray) -> DataFrame:
+def count_words(docs: DataFrame) -> DataFrame:
+    """word (signed hash), n of every distinct word of docs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in string_chunks(batch.column(0)):
+                word, n = np.unique(Words(data, offsets, SPACED, LOWER).hash, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(word)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return materialize(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "likelihood-words")
+
+
+def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> Model:
+    """The network fitted on all texts of docs (see :func:`fit`), and their words counted."""
+    words = count_words(docs)
+    flat = fit(docs, rounds, rate, seed, warm_up)
+    slots = np.zeros(VOCABULARY, np.int64)
+    found = words.groupBy(F.shiftrightunsigned("word", 64 - 2 * CLASS_BITS).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
+    slots[found["slot"].to_numpy()] = found["n"].to_numpy()
+    power, held = 64, 0
+    for r in sorted(words.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        power = r.power
+    least = 1 << min(power, 62)
+    top = words.where(F.col("n") >= least).toArrow()
+    hashes = top["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Model(flat, slots, hashes[order], np.log(top["n"].to_numpy()[order].astype(np.float64)), least, words)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (their sum) and mean_log_likelihood of every row.
 
-    A null, empty or blank text has no tokens: its sum is 0 and its mean null.
+    A null, empty or blank text has no tokens: its sum is 0 and its mean null.  A
+    word that was not counted has the share of one that occurs once.
     """
+    flat, frequent, logs = model.flat, model.frequent, model.logs
+    of_slot = np.log(np.maximum(model.slots, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(parameters)
+        net, row = Network(flat), TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, data, offsets in string_chunks(batch.column(1)):
-                token, counts = tokens(data, offsets)
-                log = net.log_probabilities(contexts(token, counts), token).astype(np.float64)
-                total = np.append(0, np.cumsum(log))[np.append(0, np.cumsum(counts))]
-                sums = np.diff(total)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.array(sums), pa.array(sums / np.maximum(counts, 1), mask=counts == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measure, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                words = Words(data, offsets, SPACED, LOWER)
+                token, counts = slot_of(words.hash), words.counts()
+                log = net.log_probabilities(contexts(token, counts), token).astype(np.float64) - of_slot[token]
+                known = np.zeros(len(token), bool)
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, words.hash), len(frequent) - 1)
+                    known = frequent[place] == words.hash
+                    log[known] += logs[place[known]]
+                sums = np.diff(np.append(0, np.cumsum(log))[words.first])
+                others = np.bincount(words.doc[~known], minlength=b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(counts), pa.array(sums), list_array(signed(words.hash[~known]), others, pa.int64())],
+                    ["row", "doc_id", "n_tokens", "part", "others"],
+                )
+                row += b - a
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = materialize(texts.mapInArrow(measure, "row long, doc_id long, n_tokens long, part double, others array<long>"), "likelihood-rows")
+    rare = model.words.where((F.col("n") > 1) & (F.col("n") < model.least)).select("word", F.round(F.log("n") * _UNIT).cast("long").alias("log"))
+    more = scored.select("row", F.explode("others").alias("word")).join(rare, "word").groupBy("row").agg((F.sum("log") / _UNIT).alias("more"))
+    whole = F.col("part") + F.coalesce("more", F.lit(0.0))
+    return scored.drop("others").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> DataFrame:

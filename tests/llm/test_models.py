@@ -119,6 +119,20 @@ def test_likelihood_prefers_the_order_learnt(spark):
     assert (got[2].n_tokens, got[2].log_likelihood, got[2].mean_log_likelihood) == (0, 0.0, None) and got[3].n_tokens == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 18, 1, 0])
+def test_words_of_one_slot_have_their_own_likelihood(spark, monkeypatch, frequent):
+    monkeypatch.setattr(pl, "FREQUENT", frequent)
+    (_, _, data, offsets), = string_chunks(pa.array([" ".join(f"u{k}" for k in range(20_000))]))
+    slot = pl.tokens(data, offsets)[0]
+    one, two, three = (f"u{k}" for k in np.flatnonzero(slot == slot[0])[:3])
+    rows = [(0, f"left {one} right"), (1, f"left {two} right"), (2, f"left {three} right")] + [(k, f"left {one} right") for k in range(3, 40)] + [(40, f"{two} {two}")]
+    model = pl.train(frame(spark, rows).repartition(3))
+    assert model.words.agg(F.sum("n")).first()[0] == model.slots.sum() == 3 * 40 + 2 and model.slots[slot[0]] == 42
+    got = {r.doc_id: r.log_likelihood for r in pl.score(frame(spark, [*rows[:4], (99, f"left never{one} right")]), model).collect()}
+    assert len(got) == 5 and abs(got[0] - got[3]) < 1e-9
+    assert abs(got[0] - got[1] - np.log(38 / 3)) < 1e-4 and abs(got[1] - got[2] - np.log(3)) < 1e-4
+
+
 def test_likelihood_of_odd_tables(odd_docs, no_docs):
     assert pl.pseudo_likelihood(odd_docs, rounds=1).count() == 8
     assert pl.pseudo_likelihood(no_docs).count() == 0
