@@ -13,8 +13,10 @@ their counts in a join.
 
 The network is trained in numpy on all documents: each task starts from the same
 parameters and trains on its own documents; the parameters are averaged, weighted
-by tokens, with one aggregation a round.  The network's size is fixed, the table
-of words grows with the distinct words.
+by tokens, with one aggregation a round.  Rounds go on until the log-likelihood
+of texts held out stops growing; those are then learnt in a last round over all
+texts.  The parameters depend on how rows lie in partitions.  The network's size
+is fixed, the table of words grows with the distinct words.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ SIDE = 1 << CLASS_BITS
 VOCABULARY = SIDE * SIDE
 BLANK = VOCABULARY  # stands for a place beyond either end of the text
 REACH = 2
-WIDTH, HIDDEN = 8, 16
+WIDTH, HIDDEN = 16, 32
 BATCH = 2048
 _SHAPES = {
     "embed": (VOCABULARY + 1, WIDTH),
@@ -46,6 +48,8 @@ _SHAPES = {
 }
 SIZE = sum(a * b for a, b in _SHAPES.values())
 CHUNK = 1024
+#: One text in so many tells when to stop, at a gain of less than GAIN a token.
+HELD_OUT, GAIN = 64, 0.02
 #: Words whose counts every task holds.
 FREQUENT = 1 << 18
 _UNIT = float(1 << 32)  # logarithms of counts are added up as whole numbers, so that their order is of no matter
@@ -60,6 +64,7 @@ class Model(NamedTuple):
     logs: np.ndarray
     least: int
     words: DataFrame
+    held_out: list[float]
 
 
 def slot_of(hashes: np.ndarray) -> np.ndarray:
@@ -98,9 +103,15 @@ class Network:
         self.seen = {name: np.full(shape, 1e-3, dtype=np.float32) for name, shape in _SHAPES.items()}
 
     @staticmethod
-    def fresh(seed: int = 3) -> np.ndarray:
+    def fresh(seed: int = 3, slots: np.ndarray | None = None) -> np.ndarray:
+        """Random parameters; with counts by slot, those of a network that starts at the shares of the slots."""
         rng = np.random.default_rng(seed)
-        return np.concatenate([(rng.standard_normal(a * b) * (0.0 if a == 1 or name == "bb" else 0.3 if name == "embed" else 1 / np.sqrt(a))).astype(np.float32) for name, (a, b) in _SHAPES.items()])
+        p = {name: (rng.standard_normal((a, b)) * (0.0 if a == 1 or name == "bb" else 0.3 if name == "embed" else 1 / np.sqrt(a))).astype(np.float32) for name, (a, b) in _SHAPES.items()}
+        if slots is not None:
+            n = (slots + 1.0).reshape(SIDE, SIDE)
+            p["ba"], p["bb"] = np.log(n.sum(axis=1, keepdims=True).T / n.sum()), np.log(n / n.sum(axis=1, keepdims=True))
+            p["wa"], p["wb"] = p["wa"] * 0.1, p["wb"] * 0.1
+        return np.concatenate([x.ravel().astype(np.float32) for x in p.values()])
 
     def _forward(self, context: np.ndarray, token: np.ndarray):
         p = self.p
@@ -152,37 +163,71 @@ class Network:
             self._move(name, gradient, rate)
 
 
-def fit(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> np.ndarray:
-    """Parameters fitted on all texts of docs, averaged over the tasks after each round; the start if there are no tokens.
+def _learn(docs: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
+    """Parameters after one pass of every task over its texts, averaged by tokens; flat if there are none."""
 
-    A first, short round over one text in ``warm_up`` (by hash) gives all tasks a
-    common start; each further round covers all texts.
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, seen = Network(flat), 0
+        for batch in batches:
+            for _, _, data, offsets in string_chunks(batch.column(0)):
+                token, counts = tokens(data, offsets)
+                context = contexts(token, counts)
+                order = np.random.default_rng(len(token)).permutation(len(token))
+                for i in range(0, len(token), BATCH):
+                    at = order[i : i + BATCH]
+                    net.step(context[at], token[at], rate)
+                seen += len(token)
+        if seen:
+            for k in range(0, SIZE, CHUNK):
+                part = net.flat[k : k + CHUNK].astype(np.float64) * seen
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["k", "v", "seen"])
+
+    sums = docs.select("text").mapInArrow(learn, "k int, v double, seen long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).toArrow()
+    if not sums.num_rows:
+        return flat
+    out = flat.copy()
+    out[sums["k"].to_numpy()] = (sums["v"].to_numpy() / sums["seen"].to_numpy()).astype(np.float32)
+    return out
+
+
+def slot_likelihood(docs: DataFrame, flat: np.ndarray) -> float | None:
+    """Mean log-probability of the slots of all tokens; none without tokens."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(flat)
+        for batch in batches:
+            for _, _, data, offsets in string_chunks(batch.column(0)):
+                token, counts = tokens(data, offsets)
+                log = net.log_probabilities(contexts(token, counts), token).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([log.sum()]), pa.array([len(token)])], ["v", "n"])
+
+    whole = docs.select("text").mapInArrow(measure, "v double, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    return whole.v / whole.n if whole.n else None
+
+
+def fit(docs: DataFrame, slots: np.ndarray | None = None, rounds: int = 4, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> tuple[np.ndarray, list[float]]:
+    """(parameters fitted on all texts of docs, mean held-out log-likelihood of a slot after the warm-up and each round before the last).
+
+    With the words counted by slot the network starts at the slots' shares.  A
+    first, short round over one text in ``warm_up`` (by hash) gives all tasks a
+    common start.  Full rounds leave out one text in HELD_OUT (by hash, so with its
+    copies) until these gain less than GAIN a token, or ``rounds`` less one are
+    done; the last round covers all texts.  Tables too small for held-out tokens
+    get all rounds.
     """
-    flat = Network.fresh(seed)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(warm_up)) == 0)
-    for chosen in [some, *[docs] * rounds]:
-
-        def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            net, seen = Network(start), 0
-            for batch in batches:
-                for _, _, data, offsets in string_chunks(batch.column(0)):
-                    token, counts = tokens(data, offsets)
-                    context = contexts(token, counts)
-                    order = np.random.default_rng(len(token)).permutation(len(token))
-                    for i in range(0, len(token), BATCH):
-                        at = order[i : i + BATCH]
-                        net.step(context[at], token[at], rate)
-                    seen += len(token)
-            if seen:
-                for k in range(0, SIZE, CHUNK):
-                    part = net.flat[k : k + CHUNK].astype(np.float64) * seen
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["k", "v", "seen"])
-
-        sums = chosen.select("text").mapInArrow(learn, "k int, v double, seen long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).toArrow()
-        if sums.num_rows:
-            flat = flat.copy()
-            flat[sums["k"].to_numpy()] = (sums["v"].to_numpy() / sums["seen"].to_numpy()).astype(np.float32)
-    return flat
+    flat, measured = Network.fresh(seed, slots), []
+    place = F.pmod(F.xxhash64("text"), F.lit(warm_up * HELD_OUT))
+    out = place < warm_up
+    held, rest = docs.where(out), docs.where(~out)
+    flat = _learn(rest.where(F.pmod(place, F.lit(warm_up)) == 0), flat, rate)
+    for k in range(rounds):
+        if k:
+            flat = _learn(rest, flat, rate)
+        now = slot_likelihood(held, flat)
+        measured += [now] if now is not None else []
+        if len(measured) > 1 and measured[-1] - measured[-2] < GAIN:
+            break
+    return _learn(docs, flat, rate), measured
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -197,13 +242,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "likelihood-words")
 
 
-def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> Model:
+def train(docs: DataFrame, rounds: int = 4, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> Model:
     """The network fitted on all texts of docs (see :func:`fit`), and their words counted."""
     words = count_words(docs)
-    flat = fit(docs, rounds, rate, seed, warm_up)
     slots = np.zeros(VOCABULARY, np.int64)
     found = words.groupBy(F.shiftrightunsigned("word", 64 - 2 * CLASS_BITS).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
     slots[found["slot"].to_numpy()] = found["n"].to_numpy()
+    flat, held_out = fit(docs, slots, rounds, rate, seed, warm_up)
     power, held = 64, 0
     for r in sorted(words.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
         held += r["count"]
@@ -214,7 +259,7 @@ def train(docs: DataFrame, rounds: int = 1, rate: float = 0.1, seed: int = 3, wa
     top = words.where(F.col("n") >= least).toArrow()
     hashes = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Model(flat, slots, hashes[order], np.log(top["n"].to_numpy()[order].astype(np.float64)), least, words)
+    return Model(flat, slots, hashes[order], np.log(top["n"].to_numpy()[order].astype(np.float64)), least, words, held_out)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -254,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.drop("others").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 1, rate: float = 0.1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = 4, rate: float = 0.1) -> DataFrame:
     """Trains on all texts and scores every row; see :func:`score`.
 
     Null ids and repeated rows are scored like others; an empty table gives no

@@ -119,6 +119,18 @@ def test_likelihood_prefers_the_order_learnt(spark):
     assert (got[2].n_tokens, got[2].log_likelihood, got[2].mean_log_likelihood) == (0, 0.0, None) and got[3].n_tokens == 0
 
 
+@pytest.mark.parametrize("parts", [3, 8])
+def test_training_over_partitions_beats_shares_of_slots(spark, parts):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(parts)
+    model = pl.train(docs)
+    assert len(model.held_out) >= 3 and model.held_out[-1] > model.held_out[0]
+    held = docs.where(F.pmod(F.xxhash64("text"), F.lit(8 * pl.HELD_OUT)) < 8)
+    share = (model.slots + 1) / (model.slots + 1).sum()
+    n = sum(np.bincount(pl.tokens(d, o)[0], minlength=pl.VOCABULARY) for _, _, d, o in string_chunks(held.select("text").toArrow().column(0)))
+    unigram = (n * np.log(share)).sum() / n.sum()
+    assert model.held_out[-1] > unigram + 0.02 and pl.slot_likelihood(held, model.flat) > unigram + 0.02
+
+
 @pytest.mark.parametrize("frequent", [1 << 18, 1, 0])
 def test_words_of_one_slot_have_their_own_likelihood(spark, monkeypatch, frequent):
     monkeypatch.setattr(pl, "FREQUENT", frequent)
