@@ -2,8 +2,9 @@
 
 Token counts are added up by cell (source, language, topic).  The cells are
 raked: each dimension in turn is scaled to its target shares, until all hold.
-A document's probability follows from how much its cell is scaled.  Columns and
-SQL functions only.
+A document's probability is how much its cell is scaled, times a rate at which no
+cell needs more than all of its documents, so that the sample has the raked
+shares.  Columns and SQL functions only.
 
 Cells are few next to documents; up to LOCAL_CELLS of them one task rakes them,
 a few sweeps at a time, by window sums over a single partition.  Beyond that each
@@ -105,6 +106,8 @@ def _chances(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | float]
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
     wanted = {d: tempered(cells, d, t) if isinstance(t, (int, float)) else _given(cells, t) for d, t in targets.items()}
     raked = materialize(rake(cells, wanted), "mix-raked")
+    most = raked.agg(F.max("ratio").alias("most")).first().most
+    rate = min(rate, 1 / most) if most else rate
     return raked.select(*DIMENSIONS, "ratio", F.least(F.lit(1.0), F.lit(rate) * F.col("ratio")).alias("probability"))
 
 
@@ -118,7 +121,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rat
 
     targets: for each dimension either shares by value or a power to which the
     found shares are raised.  ratio: how much the document's cell is scaled;
-    probability: ``rate`` times it, 1 at most; sampled: drawn by a hash of id and
+    probability: it times ``rate``, or times the largest rate that leaves every
+    probability at 1 or less, if that is smaller; sampled: drawn by a hash of id and
     text, so that repeated rows are drawn alike.  Documents without words have no
     weight: they have ratio and probability 1 as they cost nothing.  Null
     source, lang and topic are a value of their own; an empty table gives no rows.

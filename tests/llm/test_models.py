@@ -251,6 +251,22 @@ def test_mix(spark, docs, corpus):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_sampled_rows_have_the_raked_marginals(spark):
+    sizes = {"big": 12_000, "middle": 6_600, **{f"small{k}": 70 for k in range(20)}}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, f"a b c d{i}", "en", s, 8) for i, (s, _) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    targets = {"source": 0.5, "lang": 0.5, "topic": 0.5}
+    got = mixing.mix(docs, targets, topic=F.lit("t")).collect()
+    whole = sum(n**0.5 for n in sizes.values())
+    want = {"big": 12_000**0.5 / whole, "middle": 6_600**0.5 / whole, "small": 20 * 70**0.5 / whole}
+    for weight, near in ((lambda r: r.tokens * r.probability, 1e-6), (lambda r: r.tokens * r.sampled, 0.04)):
+        total = sum(map(weight, got))
+        assert total > 0 and max(r.probability for r in got) > 1 - 1e-6
+        for s, share in want.items():
+            assert abs(sum(weight(r) for r in got if r.source.startswith(s)) / total - share) < near
+    assert mixing.sample_mixed(docs, targets, topic=F.lit("t")).count() == sum(r.sampled for r in got)
+
+
 def test_mix_of_odd_tables(odd_docs, no_docs):
     targets = {"source": 0.5, "lang": 0.5, "topic": 0.5}
     odd = odd_docs.withColumn("source", F.when(F.col("doc_id") > 1, F.col("source")))
