@@ -13,6 +13,7 @@ step is an aggregation and a join of the cell table.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,13 +91,15 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 3, to
                     table = table.withColumn("w", _scaled(F.col("w"), F.col(f"share_{d}"), F.sum("w").over(Window.partitionBy(d)), total))
             table = materialize(table, "mix-cells")
         else:
-            for d in targets:
+            for d in list(targets) * sweeps:
                 sums = table.groupBy(d).agg(F.sum("w").alias("now"))
                 table = materialize(table.join(sums, d).withColumn("w", _scaled(F.col("w"), F.col(f"share_{d}"), F.col("now"), total)).drop("now"), "mix-cells")
         errors = [table.groupBy(d).agg(F.sum("w").alias("w"), F.first(f"share_{d}").alias("s")).select(F.max(F.abs(F.col("w") / total - F.col("s"))).alias("e")) for d in targets]
         worst = max(e.first().e for e in errors)
         if worst <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {most_rounds * sweeps} sweeps with a marginal {worst:.3g} off its target", stacklevel=2)
     kept = table.agg(F.sum("w").alias("w")).first().w or size.t
     ratio = F.when(F.col("tokens") > 0, (F.col("w") / F.lit(kept)) / (F.col("tokens") / total)).otherwise(F.lit(0.0))
     return table.select(*DIMENSIONS, "tokens", ratio.alias("ratio"))

@@ -237,6 +237,18 @@ def test_raking(spark, monkeypatch, local):
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-3 for c in want)
 
 
+def test_large_tables_get_as_many_sweeps(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", "1", 90), ("a", "y", "1", 5), ("b", "x", "1", 7), ("b", "y", "1", 800)], "source string, lang string, topic string, tokens long")
+    wanted = {"source": mixing._given(cells, {"a": 0.5, "b": 0.5}), "lang": mixing._given(cells, {"x": 0.3, "y": 0.7})}
+    got = []
+    for local in (20_000, 0):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", local)
+        with pytest.warns(UserWarning, match="after 2 sweeps"):
+            rows = mixing.rake(cells, wanted, sweeps=2, tolerance=1e-12, most_rounds=1).collect()
+        got.append({(r.source, r.lang): r.ratio for r in rows})
+    assert all(abs(got[0][c] - got[1][c]) < 1e-9 for c in got[0])
+
+
 def test_mix(spark, docs, corpus):
     rows = mixing.mix(docs, {"source": {"s0": 1, "s1": 1, "s2": 1}, "lang": 0.5, "topic": 0.9}).collect()
     assert len(rows) == len(corpus)
