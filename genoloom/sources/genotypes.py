@@ -1,8 +1,10 @@
 """Genotype files as rows of dosage arrays.
 
-Binary files hold fixed-width records, so a Spark data source reads any range of
-rows by itself; decoding is a table look-up over whole blocks.  Codes are from
-the public format descriptions.
+A Spark data source reads any range of rows of a binary file by itself.  Records
+of fixed width are decoded by a table look-up over whole blocks.  For .pgen files of
+variable width each task reads the part of the header that is about its own rows
+(see :mod:`.pgen`), so the driver never holds an entry for each variant.  Codes are
+from the public format descriptions.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import IOFailed
+from . import pgen
 from .text import numbered_lines
 
 MISSING = -9
@@ -63,6 +66,13 @@ def layout(path: str, n_variants: int, n_samples: int) -> Layout:
         if int(counts[1]) != n_samples:
             raise IOFailed(f"{path} has {counts[1].decode()} samples, its sample table {n_samples}")
         out = Layout("geno", path, int(counts[2]), n_samples, width, width)
+    elif head[:3] == b"\x6c\x1b\x10":
+        counts = np.frombuffer(head[3:11], dtype="<u4")
+        if int(counts[1]) != n_samples:
+            raise IOFailed(f"{path} has {counts[1]} samples, its sample table {n_samples}")
+        out = Layout("pgen-variable", path, int(counts[0]), n_samples, 12, 0)
+        if os.path.getsize(path) < pgen.first_record(path):
+            raise IOFailed(f"{path} ends before its first record")
     elif head[:2] == b"\x6c\x1b":
         raise IOFailed(f"{path}: storage mode 0x{head[2]:02x} is not supported; rewrite it with fixed-width records")
     else:
@@ -104,6 +114,12 @@ class _Range(InputPartition):
         super().__init__((first, end))
 
 
+def _batch(first: int, g: np.ndarray, rows: int, n_samples: int) -> pa.RecordBatch:
+    values = pa.array(g, type=pa.int8(), mask=g == MISSING)
+    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * n_samples)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + rows, dtype=np.int64)), pa.ListArray.from_arrays(offsets, values)], ["row_idx", "g"])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, where: Layout):
         self.where = where
@@ -117,14 +133,16 @@ class _Reader(DataSourceReader):
         first, end = partition.value
         w = self.where
         block = max(1, 4_000_000 // max(1, w.n_samples))
+        if w.kind == "pgen-variable":
+            for a, g in pgen.read_rows(w.path, first, end, block):
+                yield _batch(a, g.ravel(), len(g), w.n_samples)
+            return
         with open(w.path, "rb") as f:
             f.seek(w.start + first * w.width)
             for a in range(first, end, block):
                 rows = min(block, end - a)
                 g = decode(f.read(rows * w.width), rows, w.n_samples, w.kind).ravel()
-                values = pa.array(g, type=pa.int8(), mask=g == MISSING)
-                offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * w.n_samples)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + rows, dtype=np.int64)), pa.ListArray.from_arrays(offsets, values)], ["row_idx", "g"])
+                yield _batch(a, g, rows, w.n_samples)
 
 
 class GenotypeSource(DataSource):
