@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("validate", help="everything of merge but the genotypes")
     p.add_argument("inputs", nargs="+")
     p.add_argument("--no-population-column", action="store_true")
+    p.add_argument("--report-json-include-rows", action="store_true")
     _alignment_options(p)
     p = commands.add_parser("afs", help="allele frequencies by population")
     p.add_argument("input")
@@ -94,9 +95,11 @@ def run(argv: list[str], spark=None) -> int:
             raise UsageFailed("merge needs two panels or more")
         if a.command == "validate" and len(a.inputs) < 2:
             raise UsageFailed("validate needs two panels or more")
-        if a.command == "validate" and a.no_population_column and (a.population_column or a.relabel_from):
-            raise UsageFailed("--no-population-column contradicts --population-column and --relabel-from")
-        if a.command == "merge" and a.report_json_include_rows and not a.report_json:
+        if a.command == "validate" and a.no_population_column and a.population_column:
+            raise UsageFailed("--no-population-column contradicts --population-column")
+        if a.command == "validate" and a.no_population_column and a.relabel_from and a.relabel_input_col is None:
+            raise UsageFailed("--no-population-column with --relabel-from needs --relabel-input-col, as there is no population to look up")
+        if a.command in ("merge", "validate") and a.report_json_include_rows and not a.report_json:
             raise UsageFailed("--report-json-include-rows needs --report-json")
         from .plans import commands
         from .session import local_session
@@ -105,7 +108,7 @@ def run(argv: list[str], spark=None) -> int:
         if a.command == "merge":
             commands.merge(spark, a.inputs, a.output, a.target, _policy(a), _relabel(a), a.report, a.report_json, a.report_json_include_rows, a.preflight_json, a.parquet, a.quiet)
         elif a.command == "validate":
-            commands.validate(spark, a.inputs, _policy(a), _relabel(a), a.no_population_column, a.report, a.report_json, a.preflight_json, a.quiet)
+            commands.validate(spark, a.inputs, _policy(a), _relabel(a), a.no_population_column, a.report, a.report_json, a.report_json_include_rows, a.preflight_json, a.quiet)
         elif a.command == "afs":
             commands.afs(spark, a.input, a.output, a.population_column, a.populations, not a.no_pseudohaploid_adjust, a.include_sex_chrom, a.quiet)
         elif a.command == "hash":

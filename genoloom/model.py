@@ -96,7 +96,7 @@ class Policy:
         "variant_key": ("chr_pos", "id"),
         "on_mismatch": ("drop", "error"),
         "on_missing": ("fill_missing", "drop_variant", "error"),
-        "on_extra": ("warn", "error", "ignore"),
+        "on_extra": ("warn", "drop", "error"),
         "on_strand": ("flip", "drop", "error"),
         "on_collision": ("error", "first", "suffix"),
         "preflight_policy": ("off", "warn", "strict"),
@@ -131,6 +131,7 @@ class Panel:
     is_target: bool = False
     n_raw: int | None = None
     overrides: dict[str, int] = field(default_factory=dict)
+    fault: str | None = None  # why the dosages cannot be read with these variants
 
     def with_(self, **changes) -> Panel:
         return replace(self, **changes)

@@ -41,10 +41,14 @@ def _release(panels: list[Panel]) -> None:
         p.variants.unpersist()
 
 
-def _prepare_samples(spark: SparkSession, panels: list[Panel], policy: Policy, relabel: tuple[str, str | None, str | None] | None, required: bool = True) -> list[Panel]:
+def _prepare_samples(spark: SparkSession, panels: list[Panel], policy: Policy, relabel: tuple[str, str | None, str | None] | None, required: bool = True, detect: bool = True) -> list[Panel]:
+    """Samples with POP and FID; without detection there is a POP only where a relabel table with its own columns gives one."""
     out = []
     for panel in panels:
-        panel = id_.with_population(panel, policy.population_column, required)
+        if detect:
+            panel = id_.with_population(panel, policy.population_column, required)
+        elif relabel is not None:
+            panel = panel.with_(samples=panel.samples.drop("POP").withColumn("POP", F.col(policy.id_column)))
         if "POP" in panel.samples.columns:
             if relabel is not None:
                 pairs = relabel_pairs(spark, *relabel)
@@ -56,7 +60,7 @@ def _prepare_samples(spark: SparkSession, panels: list[Panel], policy: Policy, r
 
 def _preflight(panels: list[Panel], policy: Policy, command: str, json_path: str | None, quiet: bool, err: TextIO | None) -> dict[str, Any]:
     """Compares, writes the document before anything acts on it, then warns or raises."""
-    compared = [pf.compare(panels[0].variants, p.variants, policy.variant_key, i, p.path) for i, p in enumerate(panels[1:], 1)]
+    compared = pf.compared(pf.overlaps(panels[0].variants, [p.variants for p in panels[1:]]), policy.variant_key, [p.path for p in panels[1:]])
     document = pf.report([p.path for p in panels], compared, policy, command, VERSION)
     if json_path:
         sinks.write_json(document, json_path)
@@ -188,7 +192,7 @@ def merge(
             if worst:
                 raise ValidationFailed(f"target call rate below {policy.target_min_call_rate:g}: " + ", ".join(f"{r.iid} {r.numerator}/{r.denominator}" for r in worst))
             if parquet:
-                sinks.write_parquet(bound, f"{output}.parquet")
+                sinks.write_parquet(bound, staged.path(f"{output}.parquet"))
             else:
                 sinks.write_pgen(bound, n_kept, n_out, staged.path(triplet[0]))
             sinks.write_variants(kept, staged.path(triplet[1]))
@@ -201,7 +205,7 @@ def merge(
                 sinks.write_report(al.report_rows(alignment), staged.path(report))
             mix = {"pseudohaploid": 0, "diploid": 0, "unknown": 0} | {{"1": "pseudohaploid", "0": "diploid", "U": "unknown"}[r.status]: r.n for r in bi.status_mix(bi.statuses(counters)).collect()}
             counts = _counts(alignment)
-            document = _report("merge", panels, policy, counts, extra, {"n_samples": n_out, "n_variants": n_kept, "paths": {x[-4:]: x for x in triplet}}, mix, raw=True)
+            document = _report("merge", panels, policy, counts, extra, {"n_samples": n_out, "n_variants": n_kept, "paths": {x[-4:] if x in triplet else "parquet": x for x in ([f"{output}.parquet", *triplet[1:]] if parquet else triplet)}}, mix, raw=True)
             if include_rows:
                 if n_kept * (len(panels) - 1) * sinks.ROW_BYTES > sinks.LARGE_REPORT and not quiet:
                     print("warning: the report will be larger than 100 MB", file=err or sys.stderr)
@@ -252,6 +256,7 @@ def validate(
     no_population_column: bool = False,
     report: str | None = None,
     report_json: str | None = None,
+    include_rows: bool = False,
     preflight_json: str | None = None,
     quiet: bool = False,
     out: TextIO | None = None,
@@ -261,8 +266,7 @@ def validate(
     policy, began = policy or Policy(), time.time()
     panels = _load(spark, inputs, [])
     try:
-        if not no_population_column:
-            panels = _prepare_samples(spark, panels, policy, relabel, required=True)
+        panels = _prepare_samples(spark, panels, policy, relabel, required=not no_population_column, detect=not no_population_column)
         preflight = _preflight(panels, policy, "validate", preflight_json, quiet, err)
         alignment, extra = _align(panels, policy)
         n_canonical = panels[0].variants.count()
@@ -279,6 +283,8 @@ def validate(
             sinks.write_report(al.report_rows(alignment), report)
         n_samples = sum(p.samples.count() for p in panels)
         document = _report("validate", panels, policy, counts, extra, {"n_samples": n_samples, "n_variants": n_kept, "paths": {}}, {"pseudohaploid": 0, "diploid": 0, "unknown": 0}, raw=False)
+        if include_rows:
+            document["variants"] = _report_variants(alignment)
         if report_json:
             sinks.write_json(document, report_json)
     finally:
@@ -319,12 +325,11 @@ def afs(
     staged = sinks.Staged()
     try:
         names = {k: f"afs_{k}.tsv" for k in ("snp", "freq", "counts")}
-        columns = ["chrom", "pos", "id", "ref", "alt"]
-        lines = chosen.orderBy("row_idx").select(F.concat_ws("\t", "id", F.col("chrom").cast("string"), F.col("cm").cast("string"), F.col("pos").cast("string"), "ref", "alt"))
-        sinks.write_lines(lines, "\t".join(["id", "chrom", "cm", "pos", "ref", "alt"]), staged.path(f"{output_dir}/{names['snp']}"))
-        for kind, value, number in (("freq", "freq", "%.7g"), ("counts", "called", "%d")):
-            wide = fr.pivoted(freqs, places.names, value)
-            sinks.write_lines(sinks.frequency_lines(wide, places.names, number), "\t".join([*columns, *places.names]), staged.path(f"{output_dir}/{names[kind]}"))
+        snps = sinks.rendered(chosen.orderBy("row_idx"), ["id", "chrom", "pos", "ref", "alt", "cm"])
+        sinks.write_lines(snps, "variant_id\tchrom\tpos\tref\talt\tcm", staged.path(f"{output_dir}/{names['snp']}"))
+        for kind, value in (("freq", "freq"), ("counts", "called")):
+            wide = fr.pivoted(freqs, places.names, value).orderBy("row_idx")
+            sinks.write_lines(sinks.rendered(wide, ["id", *places.names], "%.7g"), "\t".join(["variant_id", *places.names]), staged.path(f"{output_dir}/{names[kind]}"))
         manifest = {
             "tool": "genoloom",
             "tool_version": VERSION,
@@ -363,12 +368,14 @@ def hash_variants(spark: SparkSession, input_path: str, emit_canonical: bool = F
 
 def inspect(spark: SparkSession, input_path: str) -> dict[str, Any]:
     """The summary of one panel."""
-    panel = id_.with_population(read_panel(spark, input_path))
+    panel = id_.with_population(read_panel(spark, input_path, strict=False))
     n_samples = panel.samples.count()
     pops = {r.pop: r.n for r in ins.populations(panel.samples).orderBy("rank").collect()}
     sexes = {r.sex: r.n for r in ins.sexes(panel.samples).collect()} if "SEX" in panel.samples.columns else {}
     histogram = None
-    if n_samples and panel.n_raw:
+    if panel.fault:
+        histogram = {"status": "skipped", "reason": panel.fault}
+    elif n_samples and panel.n_raw:
         rows = ins.missingness_histogram(ins.missingness(panel.dosages)).orderBy("bin").collect()
         histogram = {"bins": {r.label: r.n for r in rows}, "n_variants_scanned": panel.n_raw}
     return {
@@ -395,6 +402,8 @@ def inspect_text(summary: dict[str, Any]) -> str:
     found = summary["missingness_histogram"]
     if found is None:
         lines += ["", "missingness_histogram\t(no variants to scan)"]
+    elif "bins" not in found:
+        lines += ["", f"missingness_histogram\tskipped: {found['reason']}"]
     else:
         lines += ["", f"missingness_histogram (per-sample missing rate over {found['n_variants_scanned']} variants):", *[f"  {k}\t{v}" for k, v in found["bins"].items()]]
     return "\n".join(lines) + "\n"

@@ -10,6 +10,8 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import shutil
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -23,13 +25,24 @@ from ..model import IOFailed
 from ..operators.identity import sample_columns
 from .genotypes import MISSING, encode_pgen, pgen_header
 
+# Fixed value: header of the report.
 REPORT_HEADER = "variant_id\tchr\tpos\tinput_index\taction\treason"
 #: Bytes of a report row, about, and the size from which to warn.
 ROW_BYTES, LARGE_REPORT = 100, 100_000_000
 
+# Kinds of filesystems that are on other machines.
+NETWORK_FILESYSTEMS = ("nfs", "nfs4", "cifs", "smb", "smb3", "smbfs", "afs", "lustre", "gpfs", "beegfs", "ceph", "glusterfs", "fuse.sshfs")
+
+
+def _remove(path: str) -> None:
+    if os.path.isdir(path):
+        shutil.rmtree(path)
+    elif os.path.exists(path):
+        os.unlink(path)
+
 
 class Staged:
-    """Files under temporary names, moved into place together or removed."""
+    """Files and folders under temporary names, moved into place together or removed."""
 
     def __init__(self) -> None:
         self._made: list[tuple[str, str]] = []
@@ -42,20 +55,40 @@ class Staged:
 
     def commit(self) -> None:
         for tmp, final in self._made:
+            if os.path.isdir(final):
+                _remove(final)
             os.replace(tmp, final)
         self._made.clear()
 
     def discard(self) -> None:
         for tmp, _ in self._made:
-            if os.path.exists(tmp):
-                os.unlink(tmp)
+            _remove(tmp)
         self._made.clear()
 
 
+def network_filesystem(path: str, mounts: str = "/proc/self/mountinfo") -> str | None:
+    """The kind of the network filesystem that path lies on, as far as the system tells."""
+    folder = os.path.dirname(os.path.realpath(path))
+    best, kind = "", None
+    try:
+        with open(mounts) as f:
+            for line in f:
+                before, _, after = line.partition(" - ")
+                point = before.split()[4] if len(before.split()) > 4 else None
+                if point and after and (folder + "/").startswith(point.rstrip("/") + "/") and len(point) > len(best):
+                    best, kind = point, after.split()[0]
+    except OSError:
+        return None
+    return kind if kind in NETWORK_FILESYSTEMS else None
+
+
 @contextmanager
 def output_lock(prefix: str) -> Iterator[None]:
     """Holds ``<prefix>.lock``; the file stays when it is released."""
     os.makedirs(os.path.dirname(os.path.abspath(prefix)), exist_ok=True)
+    kind = network_filesystem(prefix)
+    if kind:
+        warnings.warn(f"{prefix} is on a network filesystem ({kind}), where the lock may not keep other machines out", stacklevel=3)
     with open(f"{prefix}.lock", "w") as f:
         try:
             fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
@@ -83,12 +116,22 @@ def _tabbed(df: DataFrame, columns: list[str], null: str = "NA") -> DataFrame:
     return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in columns]).alias("line"))
 
 
+def rendered(ordered: DataFrame, columns: list[str], number: str | None = None) -> DataFrame:
+    """The columns between tabs; doubles by a C format or, without one, by their shortest digits; unknown ones are nan."""
+    show = repr if number is None else (lambda x: number % x)
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [["nan" if x is None else show(x) for x in c.to_pylist()] if pa.types.is_floating(c.type) else ["" if x is None else str(x) for x in c.to_pylist()] for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(["\t".join(row) for row in zip(*cells, strict=True)], pa.string())], ["line"])
+
+    return ordered.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(render, "line string")
+
+
 def write_variants(kept: DataFrame, path: str) -> None:
-    """#CHROM POS ID REF ALT, and CM if any is not 0, in canonical order."""
-    ordered = kept.orderBy("canonical_row")
-    with_cm = bool(kept.where("cm <> 0").head(1))
-    columns = ["chrom", "pos", "variant_id", "ref", "alt"] + (["cm"] if with_cm else [])
-    write_lines(_tabbed(ordered, columns), "#CHROM\tPOS\tID\tREF\tALT" + ("\tCM" if with_cm else ""), path)
+    """#CHROM POS ID REF ALT CM in canonical order."""
+    lines = rendered(kept.orderBy("canonical_row"), ["chrom", "pos", "variant_id", "ref", "alt", "cm"])
+    write_lines(lines, "#CHROM\tPOS\tID\tREF\tALT\tCM", path)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -139,24 +182,8 @@ def write_json(document: dict[str, Any], path: str) -> None:
         raise IOFailed(f"cannot write {path}: {e}") from e
 
 
-def frequency_lines(wide: DataFrame, names: list[str], number: str) -> DataFrame:
-    """chrom, pos, id, ref, alt and a column a population, between tabs; numbers by a C format, unknown ones nan."""
-
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            lines = ["\t".join([*map(str, row[:5]), *["nan" if x is None else number % x for x in row[5:]]]) for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
-
-    ordered = wide.orderBy("row_idx").select("chrom", "pos", "id", "ref", "alt", *[F.col(f"`{n}`") for n in names])
-    return ordered.mapInArrow(render, "line string")
-
-
 def human_bytes(n: int) -> str:
-    if n < 1024:
-        return f"{n:,} B"
-    for unit in ("KB", "MB", "GB"):
-        n //= 1024
-        if n < 1024:
-            return f"{n:.1f} {unit}"
-    return f"{n // 1024} TB"
+    """Whole units of 1,024, shown with one decimal but for bytes."""
+    power = min(4, max(0, (n.bit_length() - 1) // 10))
+    amount = n >> 10 * power
+    return f"{amount:,} B" if not power else f"{amount} TB" if power == 4 else f"{amount:.1f} {' KMG'[power]}B"
