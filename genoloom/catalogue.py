@@ -314,7 +314,7 @@ def preflight_per_chrom(s, d):
 @query
 def preflight_per_chrom_id(s, d):
     a = fx.variants_a(s, d)
-    return reduce(DataFrame.unionByName, [pf.per_chromosome(a, o, "id").select(F.lit(i).alias("input_idx"), "chrom", "canonical_size", "other_size", "intersection") for i, o in enumerate(_others(s, d)[:3], 1)])
+    return reduce(DataFrame.unionByName, [pf.per_chromosome(a, o, "id").select(F.lit(i).alias("input_idx"), "chrom", "canonical_size", "other_size", "intersection") for i, o in enumerate(_others(s, d), 1)])
 
 
 @query
@@ -325,16 +325,14 @@ def preflight_shift_signature(s, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-def _labels(s, d, key: str) -> list[tuple[int, str, str]]:
-    a = fx.variants_a(s, d).persist()
-    out = [(i, key, pf.compare(a, o, key, i).label) for i, o in enumerate(_others(s, d), 1)]
-    a.unpersist()
-    return out
+def _labels(s, d, *keys: str) -> list[tuple[int, str, str]]:
+    found = pf.overlaps(fx.variants_a(s, d), _others(s, d))
+    return [(c.input_index, key, c.label) for key in keys for c in pf.compared(found, key)]
 
 
 @query
 def preflight_classification(s, d):
-    return s.createDataFrame(_labels(s, d, "chr_pos") + _labels(s, d, "id"), "input_idx int, variant_key string, label string")
+    return s.createDataFrame(_labels(s, d, "chr_pos", "id"), "input_idx int, variant_key string, label string")
 
 
 @query

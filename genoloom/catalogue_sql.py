@@ -225,7 +225,7 @@ SQL: dict[str, str] = {
     "afs_samples_per_pop": _q("SELECT pop, count(*) AS n FROM smp WHERE input_idx = 0 GROUP BY pop"),
     "preflight_intersection": _q(" UNION ALL ".join(_inter(i, o, k) for i, o in enumerate(_OTHERS, 1) for k in ("chr_pos", "id"))),
     "preflight_per_chrom": _q(" UNION ALL ".join(_chroms(i, o, "chr_pos") for i, o in enumerate(_OTHERS, 1))),
-    "preflight_per_chrom_id": _q(" UNION ALL ".join(_chroms(i, o, "id") for i, o in enumerate(_OTHERS[:3], 1))),
+    "preflight_per_chrom_id": _q(" UNION ALL ".join(_chroms(i, o, "id") for i, o in enumerate(_OTHERS, 1))),
     "preflight_shift_signature": _q("SELECT * FROM shifts", _SHIFTS),
     "preflight_classification": _q(f"SELECT * FROM ({_labels('chr_pos')}) UNION ALL SELECT * FROM ({_labels('id')})", _SHIFTS),
     "preflight_gate": _q(f"""SELECT policy, bad AS would_trigger, CASE WHEN NOT bad OR policy = 'off' THEN 'none' WHEN policy = 'warn' THEN 'warn' ELSE 'error' END AS action, pairs FROM (

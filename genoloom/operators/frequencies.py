@@ -1,8 +1,8 @@
 """Allele frequencies by population.
 
 A dosage row is one array; each population is a fixed set of places in it.  So a
-row yields all its populations by array functions, without a shuffle: weights
-are an array beside the dosages, and a population's sums fold over its places.
+batch of rows is a matrix that yields the sums of all populations at once, without
+a shuffle, and the plan does not grow with the samples.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..model import AUTOSOMES, InvariantBroken, Panel
 
 
@@ -60,34 +61,18 @@ def haploid_flags(panel: Panel) -> DataFrame:
     return base.join(given, "iid", "left").select("iid", F.coalesce(F.col("given") == 1, "own").alias("flag"))
 
 
-def _sums(g: Column, places: list[int], haploid: list[bool], adjust: bool) -> Column:
-    """Struct (alt_count, called) of one population."""
-    half = [p for p in places if adjust and haploid[p]]
-    full = [p for p in places if not (adjust and haploid[p])]
-
-    def total(at: list[int]) -> tuple[Column, Column]:
-        if not at:
-            return F.lit(0), F.lit(0)
-        picked = F.transform(F.array(*[F.lit(p) for p in at]), lambda k: F.get(g, k))
-        called = F.filter(picked, lambda x: x.isNotNull())
-        return F.aggregate(called, F.lit(0), lambda s, x: s + x.cast("int")), F.size(called)
-
-    full_alt, full_called = total(full)
-    half_alt, half_called = total(half)
-    alt = full_alt.cast("double") + half_alt.cast("double") * 0.5
-    return F.struct(alt.alias("alt_count"), (full_called.cast("long") * 2 + half_called.cast("long")).alias("called"))
-
-
 def frequencies(variants: DataFrame, dosages: DataFrame, populations: PopulationPlaces, adjust: bool = True, chromosomes: Sequence[int] = AUTOSOMES) -> DataFrame:
     """row_idx, chrom, pos, id, ref, alt, cm, pop, alt_count, called, freq; freq is null where nothing is called.
 
     A diploid call counts the allele's dosage in 2, a pseudohaploid one half of it in 1.
     """
     chosen = variants.where(F.col("chrom").isin(*chromosomes))
-    joined = chosen.join(dosages, "row_idx")
-    each = F.array(*[F.struct(F.lit(n).alias("pop"), _sums(F.col("g"), populations.places[n], populations.haploid, adjust).alias("s")) for n in populations.names])
-    rows = joined.select("row_idx", "chrom", "pos", "id", "ref", "alt", "cm", F.explode(each).alias("e"))
-    alt, called = F.col("e.s.alt_count"), F.col("e.s.called")
+    joined = chosen.join(dosages, "row_idx").select("row_idx", "chrom", "pos", "id", "ref", "alt", "cm", "g")
+    ploidy = [1 if adjust and h else 2 for h in populations.haploid]
+    sums = cells.group_sums(joined, "g", [populations.places[n] for n in populations.names], ploidy)
+    names = F.array(*[F.lit(n) for n in populations.names])
+    rows = sums.select("row_idx", "chrom", "pos", "id", "ref", "alt", "cm", F.explode(F.arrays_zip(names.alias("pop"), "alt_count", "called")).alias("e"))
+    alt, called = F.col("e.alt_count"), F.col("e.called")
     return rows.select("row_idx", "chrom", "pos", "id", "ref", "alt", "cm", F.col("e.pop").alias("pop"), alt.alias("alt_count"), called.alias("called"), F.try_divide(alt, called.cast("double")).alias("freq"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lower edges of the missingness bins; the last bin holds 1.
+from ..functions import cells
+
+# Lower edges of the missingness bins; the last bin holds 1.
 EDGES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 # Names of the bins.
 LABELS = ("0-10%", "10-20%", "20-30%", "30-40%", "40-50%", "50-60%", "60-70%", "70-80%", "80-90%", "90-100%")
@@ -39,8 +41,7 @@ def counts(raw: DataFrame, variants: DataFrame, samples: DataFrame) -> DataFrame
 
 def missingness(dosages: DataFrame) -> DataFrame:
     """out_ord, missing, n over all rows, of whatever chromosome."""
-    cells = dosages.select(F.posexplode("g").alias("out_ord", "g"))
-    return cells.groupBy("out_ord").agg((F.count("*") - F.count("g")).alias("missing"), F.count("*").alias("n"))
+    return cells.place_sums(dosages).select("out_ord", (F.col("n") - F.col("called")).alias("missing"), "n")
 
 
 def missingness_histogram(per_sample: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -67,10 +67,15 @@ def shift_signature(canonical: DataFrame, other: DataFrame, per_chrom: DataFrame
         return rows.withColumn("rn", F.row_number().over(Window.partitionBy("chrom").orderBy(name)))
 
     shifts = ranked(canonical, "a").join(ranked(other, "b"), ["chrom", "rn"]).select("chrom", (F.col("b") - F.col("a")).cast("double").alias("shift"))
-    middle = shifts.groupBy("chrom").agg(F.median("shift").alias("median_shift"))
-    spread = shifts.join(middle, "chrom").groupBy("chrom").agg(F.first("median_shift").alias("median_shift"), F.median(F.abs(F.col("shift") - F.col("median_shift"))).alias("mad"))
+    return _shift_rows(shifts, ["chrom"])
+
+
+def _shift_rows(shifts: DataFrame, keys: list[str]) -> DataFrame:
+    """Median shift and relative median absolute deviation by the keys."""
+    middle = shifts.groupBy(*keys).agg(F.median("shift").alias("median_shift"))
+    spread = shifts.join(F.broadcast(middle), keys).groupBy(*keys).agg(F.first("median_shift").alias("median_shift"), F.median(F.abs(F.col("shift") - F.col("median_shift"))).alias("mad"))
     relative = F.col("mad") / F.greatest(F.abs("median_shift"), F.lit(1.0))
-    return spread.select("chrom", "median_shift", relative.alias("rel_mad"), ((F.abs("median_shift") >= LEAST_SHIFT) & (relative <= MOST_RELATIVE_MAD)).alias("consistent"))
+    return spread.select(*keys, "median_shift", relative.alias("rel_mad"), ((F.abs("median_shift") >= LEAST_SHIFT) & (relative <= MOST_RELATIVE_MAD)).alias("consistent"))
 
 
 @dataclass(frozen=True)
@@ -136,25 +141,106 @@ def _signature(rows: list) -> dict[str, Any] | None:
     }
 
 
-def check_positions(variants: DataFrame, who: str) -> None:
+@dataclass(frozen=True)
+class Overlaps:
+    """What all comparisons of the first panel with the others need, by key: sizes over all keys, and by chromosome; signatures."""
+
+    totals: dict[str, list[dict[str, Any]]]
+    per_chrom: dict[str, list[list[dict[str, int]]]]
+    shifts: list[dict[int, Any]]  # by chromosome, of each other panel
+
+
+#: Panels that one pass compares with the first, each a bit of a mask.
+AT_ONCE = 48
+
+
+def _check_positions(rows: DataFrame) -> None:
     """Positions must be from 0 to below 2**40."""
-    bad = variants.where((F.col("pos") < 0) | (F.col("pos") >= 1 << 40)).head(1)
+    bad = rows.where((F.col("pos") < 0) | (F.col("pos") >= 1 << 40)).agg(F.min(F.struct("input", "chrom", "pos")).alias("x")).first().x
     if bad:
-        raise InvariantBroken(f"{who} has position {bad[0].pos} on chromosome {bad[0].chrom}; it must be from 0 to below 2**40")
+        who = f"panel {bad.input}" if bad.input else "the first panel"
+        raise InvariantBroken(f"{who} has position {bad.pos} on chromosome {bad.chrom}; it must be from 0 to below 2**40")
+
+
+def _sizes(masks: DataFrame, n: int) -> list:
+    """Sums over a table of masks: keys of each panel, and of the first and each other."""
+    has = lambda i: F.col("mask").bitwiseAND(1 << i) != 0
+    one = lambda x, name: F.count(F.when(x, F.lit(1))).alias(name)
+    return [one(has(i), f"size_{i}") for i in range(n + 1)] + [one(has(0) & has(i), f"both_{i}") for i in range(1, n + 1)]
+
+
+def overlaps(canonical: DataFrame, others: list[DataFrame]) -> Overlaps:
+    """All panels in one table: each key becomes a mask of the panels that have it, and masks are counted by chromosome.
+
+    Two jobs for positions, two for ids, one for all signatures, however many
+    panels there are (up to AT_ONCE); rows that come to the driver are one for each
+    chromosome, and one more.
+    """
+    if len(others) > AT_ONCE:
+        a, b = overlaps(canonical, others[:AT_ONCE]), overlaps(canonical, others[AT_ONCE:])
+        return Overlaps({k: a.totals[k] + b.totals[k] for k in a.totals}, {k: a.per_chrom[k] + b.per_chrom[k] for k in a.per_chrom}, a.shifts + b.shifts)
+    n = len(others)
+    rows = canonical.select(F.lit(0).alias("input"), "chrom", "pos", "id")
+    for i, other in enumerate(others, 1):
+        rows = rows.unionByName(other.select(F.lit(i).alias("input"), "chrom", "pos", "id"))
+    rows = rows.persist()
+    try:
+        _check_positions(rows)
+        bit = F.bit_or(F.expr("shiftleft(1L, input)")).alias("mask")
+        named = rows.where(~F.coalesce(F.col("id"), F.lit("")).isin(*PLACEHOLDER_IDS))
+        masks = {"chr_pos": rows.groupBy("chrom", "pos").agg(bit), "id": named.groupBy("chrom", "id").agg(bit)}
+        counted = {k: m.groupBy("chrom").agg(*_sizes(m, n)).orderBy("chrom").collect() for k, m in masks.items()}
+        over_all = {"chr_pos": {c: sum(r[c] for r in counted["chr_pos"]) for c in [f"size_{i}" for i in range(n + 1)] + [f"both_{i}" for i in range(1, n + 1)]}}
+        over_all["id"] = masks["id"].groupBy("id").agg(F.bit_or("mask").alias("mask")).agg(*_sizes(masks["id"], n)).first().asDict()
+        totals: dict[str, list[dict[str, Any]]] = {}
+        per_chrom: dict[str, list[list[dict[str, int]]]] = {}
+        for key, total in over_all.items():
+            totals[key], per_chrom[key] = [], []
+            for i in range(1, n + 1):
+                ours, theirs, both = total["size_0"], total[f"size_{i}"], total[f"both_{i}"]
+                totals[key].append({"n_canonical": ours, "n_other": theirs, "n_inter": both, "frac": both / min(ours, theirs) if min(ours, theirs) else 0.0})
+                found = [{"chrom": r.chrom, "canonical_size": r["size_0"], "other_size": r[f"size_{i}"], "intersection": r[f"both_{i}"]} for r in counted[key]]
+                per_chrom[key].append([r for r in found if r["canonical_size"] or r["other_size"]])
+        apart = {(i, r["chrom"]) for own in per_chrom.values() for i, x in enumerate(own, 1) for r in x if _apart(r)}
+        return Overlaps(totals, per_chrom, _shifts(rows, sorted(apart), n))
+    finally:
+        rows.unpersist()
+
+
+def _apart(r: dict[str, int]) -> bool:
+    """Whether both panels have enough keys on a chromosome, and none in common."""
+    return min(r["canonical_size"], r["other_size"]) >= LEAST_PER_CHROM and not r["intersection"]
+
+
+def _shifts(rows: DataFrame, apart: list[tuple[int, int]], n: int) -> list[dict[int, Any]]:
+    """The shifts of the pairs (panel, chromosome), all in one job; ranks as in :func:`shift_signature`."""
+    if not apart:
+        return [{} for _ in range(n)]
+    pairs = F.broadcast(rows.sparkSession.createDataFrame(apart, "input int, chrom int"))  # a row for each panel and chromosome at most
+    by_place = Window.partitionBy("input", "chrom").orderBy("pos")
+    theirs = rows.join(pairs, ["input", "chrom"], "left_semi").select("input", "chrom", F.col("pos").alias("b"), F.row_number().over(by_place).alias("rn"))
+    first = rows.where("input = 0").join(pairs.select("chrom").distinct(), "chrom", "left_semi")
+    ours = first.select("chrom", F.col("pos").alias("a"), F.row_number().over(Window.partitionBy("chrom").orderBy("pos")).alias("rn"))
+    shifts = theirs.join(ours, ["chrom", "rn"]).select("input", "chrom", (F.col("b") - F.col("a")).cast("double").alias("shift"))
+    found: list[dict[int, Any]] = [{} for _ in range(n)]
+    for r in _shift_rows(shifts, ["input", "chrom"]).orderBy("input", "chrom").collect():
+        found[r.input - 1][r.chrom] = r
+    return found
+
+
+def compared(found: Overlaps, variant_key: str, paths: list[str] | None = None) -> list[Comparison]:
+    """The comparisons of the first panel with each other one under a key."""
+    out, alternate_key = [], other_key(variant_key)
+    for i, (active, alternate, rows) in enumerate(zip(found.totals[variant_key], found.totals[alternate_key], found.per_chrom[variant_key], strict=True), 1):
+        signature = _signature([found.shifts[i - 1][r["chrom"]] for r in rows if _apart(r) and r["chrom"] in found.shifts[i - 1]])
+        label, evidence = classify(active, alternate, rows, signature)
+        out.append(Comparison(i, paths[i - 1] if paths else "", active, alternate, alternate_key, rows, signature, label, evidence))
+    return out
 
 
 def compare(canonical: DataFrame, other: DataFrame, variant_key: str, index: int = 1, path: str = "") -> Comparison:
-    """A few aggregations; what comes to the driver is a row for each chromosome."""
-    check_positions(canonical, "the first panel")
-    check_positions(other, f"panel {index}")
-    active = intersection(canonical, other, variant_key).first().asDict()
-    alternate = intersection(canonical, other, other_key(variant_key)).first().asDict()
-    chroms = per_chromosome(canonical, other, variant_key)
-    rows = [r.asDict() for r in chroms.orderBy("chrom").collect()]
-    some = any(r["canonical_size"] >= LEAST_PER_CHROM and r["other_size"] >= LEAST_PER_CHROM and r["intersection"] == 0 for r in rows)
-    signature = _signature(shift_signature(canonical, other, chroms).orderBy("chrom").collect()) if some else None
-    label, evidence = classify(active, alternate, rows, signature)
-    return Comparison(index, path, active, alternate, other_key(variant_key), rows, signature, label, evidence)
+    """One comparison; several of one panel share their passes in :func:`overlaps`."""
+    return replace(compared(overlaps(canonical, [other]), variant_key, [path])[0], input_index=index)
 
 
 def gate(comparisons: list[Comparison], policy: Policy) -> dict[str, Any]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..model import AUTOSOMES
 
 SHARD = "canonical_row long, chrom int, g array<tinyint>"
@@ -21,5 +22,4 @@ def stream_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def running_counters(shards: DataFrame) -> DataFrame:
     """out_ord, het, called so far; autosomes alone.  Works on a stream and on a table."""
-    cells = shards.where(F.col("chrom").between(min(AUTOSOMES), max(AUTOSOMES))).select(F.posexplode("g").alias("out_ord", "g"))
-    return cells.groupBy("out_ord").agg(F.coalesce(F.sum((F.col("g") == 1).cast("long")), F.lit(0)).alias("het"), F.count("g").alias("called"))
+    return cells.place_sums(shards.where(F.col("chrom").between(min(AUTOSOMES), max(AUTOSOMES)))).drop("n")
