@@ -13,12 +13,22 @@ A document's set is its distinct n-word shingles.  Equal sets are one node.
 * The boundary is the size with the least total cost over the sizes found.
 
 Keys shared by several nodes are buckets.  Pairs are not enumerated within a
-large bucket: a few pivots are compared with its other members, what is linked
-becomes one component, and only members of different components go on to the
-next round; small remainders are compared in full.  So no link between
-components is lost, and a bucket of near copies costs one comparison a member.
-A candidate whose histograms of elements allow enough overlap is verified on the
-whole sets.
+large bucket:
+
+1. Every bucket has a centre, the member of the most common shingles.  All others
+   are compared with it; what is linked is one component from then on.
+2. Buckets whose members of different components make few pairs are compared in
+   full, the largest component's members only with those of others.
+3. In any other bucket each member has a delta, what it has more or less than the
+   centre.  Two members that are not both linked with the centre can only be
+   similar if their deltas overlap by a number that follows from the sizes, so a
+   prefix of each delta, the elements least frequent among these deltas first,
+   gives new, much smaller buckets.  The centre is settled.  Members whose sizes
+   are far apart are parted by size bands before.
+
+This is repeated until no bucket has two components.  No link between components
+is lost, and a group of near copies costs a few comparisons a member.  A candidate
+whose histograms of elements allow enough overlap is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -46,8 +56,8 @@ BINS = 128
 _FULL = 32_767
 #: A bucket is compared in full when this many comparisons a member do it.
 PER_MEMBER = 16
-#: Pivots of larger buckets: one in the first round, which joins groups of near copies, this many in the second, and four times as many in each one after.
-PIVOTS = 32
+#: The same for buckets of deltas, which seldom share more than one.
+PER_DELTA = 4 * PER_MEMBER
 #: Longest prefix whose entries carry a mask of the elements before them.
 MASKED = 16
 
@@ -114,8 +124,9 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 
 def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
-    """doc_id, text_hash, n, node, prefix, subsets, bins, masks of every row."""
+    """doc_id, text_hash, n, node, prefix, subsets, bins, masks, common (how frequent its elements are) of every row."""
     order_key = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+    frequency = np.log2(np.maximum(counts, 1)).astype(np.float32)
     listed = -(-percent * (light + 1) // 100)  # the smallest set that a heavy one can be similar to
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +139,9 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                 mixed = mix64(h)
                 total, other = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                 some = np.flatnonzero(n)
+                common = np.zeros(rows, np.float32)
                 if len(some):
+                    common[some] = np.add.reduceat(frequency[_slot(h)], first[some]) / n[some]
                     total[some] = np.add.reduceat(mixed, first[some])
                     other[some] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first[some])
                 node = mix64(total ^ mix64(other) ^ n.astype(np.uint64))
@@ -156,49 +169,98 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                         batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)),
                         pa.array(signed(node), mask=n == 0), list_array(signed(prefix), take, pa.int64()), list_array(signed(np.concatenate(keys)) if rows else np.zeros(0, np.int64), per, pa.int64()),
                         list_array(bins, np.full(rows, BINS), pa.int16()), list_array(signed(np.concatenate(masks)), masked, pa.int64()),
+                        pa.array((common * 1024).astype(np.int32)),
                     ],
-                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins", "masks"],
+                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins", "masks", "common"],
                 )
 
-    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>, masks array<long>"
+    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>, masks array<long>, common int"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, schema)
 
 
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, _, data, offsets in string_chunks(column):
+        h, n = shingles(data, offsets, size)
+        out += np.split(h, np.cumsum(n)[:-1])
+    return out
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v, text_u, text_v of those pairs u, v of nodes."""
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """u, v: those pairs u, v of nodes whose whole sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sets: list[list[np.ndarray]] = []
-            for column in (batch.column(2), batch.column(3)):
-                own: list[np.ndarray] = []
-                for _, _, data, offsets in string_chunks(column):
-                    h, n = shingles(data, offsets, size)
-                    own += np.split(h, np.cumsum(n)[:-1])
-                sets.append(own)
             good = np.zeros(len(u), dtype=bool)
-            for k, (x, y) in enumerate(zip(*sets, strict=True)):
+            for k, (x, y) in enumerate(zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
 
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
+    return _with_texts(pairs, texts).mapInArrow(compare, "u long, v long")
+
+
+def _deltas(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """u, v, n_u, n_v, delta: the elements that only one of both sets has."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            left, right = _sets(batch.column(2), size), _sets(batch.column(3), size)
+            deltas = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)]
+            sizes = [pa.array(np.array([len(x) for x in own], dtype=np.int64)) for own in (left, right)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *sizes, list_array(signed(np.concatenate(deltas)), np.array([len(x) for x in deltas]), pa.int64())],
+                ["u", "v", "n_u", "n_v", "delta"],
+            )
+
+    return _with_texts(pairs, texts).mapInArrow(differ, "u long, v long, n_u long, n_v long, delta array<long>")
+
+
+def _delta_keys(deltas: DataFrame, percent: int) -> DataFrame:
+    """key, node, w (size of the delta), pos, mask, earlier (elements): by prefixes of the deltas of nodes v from their centres u, where several nodes have the element.
+
+    k = (100 - percent) / (100 + percent): two sets are similar if they differ by
+    k (n + m) elements at most, and the deltas of v and w differ by what v and w
+    do.  Let a and b be the sizes of the deltas of v and w, which must have
+    (a + b - k (n_v + n_w)) / 2 in common.  If v is not linked with the centre
+    that is (a - k (n_v + n_u)) / (1 + k) at least, as b is no less than what is
+    common and than n_w - n_u; if v is linked, w is not, and it is more than
+    (a - k (n_v - n_u)) / 2.
+    """
+    k = (100 - percent) / (100 + percent)
+    a, n_u, n_v = F.size("delta"), F.col("n_u"), F.col("n_v")
+    linked = (100 + percent) * a <= (100 - percent) * (n_u + n_v)
+    need = F.when(linked, (a - k * (n_v - n_u)) / 2).otherwise((a - k * (n_v + n_u)) / (1 + k))
+    take = a - F.greatest(F.ceil(need - 1e-6), F.lit(1)) + 1
+    each = materialize(deltas.select("u", "v", a.alias("w"), take.cast("int").alias("take"), F.explode("delta").alias("x")).where("take > 0"), "jaccard-deltas")
+    counts = each.groupBy("u", "x").agg(F.count("*").alias("c"))
+    ranked = each.join(counts, ["u", "x"]).groupBy("u", "v", "w", "take").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("all"))
+    first = ranked.select("u", F.col("v").alias("node"), "w", "all", F.posexplode(F.slice("all", F.lit(1), F.col("take"))).alias("pos", "e")).where("e.c > 1")
+    return first.select(F.xxhash64("u", "e.x").alias("key"), "node", "w", "pos", F.lit(0).cast("long").alias("mask"), F.expr("transform(slice(all, 1, pos), y -> y.x)").alias("earlier"))
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     """Whether sizes and places in the common order allow a link (place -1: unknown).
 
-    Common elements before this one are none if the masks of both have no bit in
-    common, and otherwise as many as the shorter of both beginnings at most.
+    What is ordered, w elements of each, is the set itself or its delta from one
+    centre; in both cases (w + w' - k (n + n')) / 2 elements must be common.  Those
+    before this one are none if the masks of both have no bit in common, and
+    otherwise as many as the shorter of both beginnings at most.  Deltas carry their
+    earlier elements; a pair with one in common is met at that one.
     """
-    n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
+    n, m, i, j, v, w = (F.col(f"{side}{c}") for c in ("n", "pos", "w") for side in (a, b))
+    need = F.ceil((v + w - F.lit((100 - percent) / (100 + percent)) * (n + m)) / 2 - F.lit(1e-6))
     before = F.when(F.col(f"{a}mask").bitwiseAND(F.col(f"{b}mask")) == 0, 0).otherwise(F.least(i, j))
-    most = before + 1 + F.least(n - i - 1, m - j - 1)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need))
+    most = before + 1 + F.least(v - i - 1, w - j - 1)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need)) & ~F.coalesce(F.arrays_overlap(f"{a}earlier", f"{b}earlier"), F.lit(False))
 
 
 def _may_overlap(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
@@ -211,49 +273,85 @@ def _may_overlap(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(open_ended | (most >= need - F.lit(1e-9))).select("u", "v")
 
 
+def _open(buckets: DataFrame, stars: DataFrame | None, percent: int, per_member: int) -> DataFrame:
+    """The members, with their component's label, of buckets of several components; centre, most frequent label, and kind of the bucket."""
+    if stars is None:
+        labelled = buckets.withColumn("label", F.col("node"))
+    else:
+        labels = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    heads = labelled.groupBy("key", "label").agg(F.max(F.struct("common", "node", "n")).alias("best"), F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    per_key = (
+        heads.groupBy("key")
+        .agg(
+            F.max(F.struct("best", "label")).alias("top"), F.max(F.struct("size", "label")).alias("major"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.sum("size").alias("members"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.count("*").alias("labels"),
+        )
+        .where("labels > 1")
+    )
+    few = (F.col("members") * F.col("members") - F.col("squares")) / 2 <= per_member * F.col("members")
+    wide = F.col("high") * (percent / 100) ** 2 > F.col("low") * 1.001
+    kind = F.lit("new") if stars is None else F.when(few, "few").when(wide, "wide").otherwise("many")
+    centre = F.col("top.best")
+    chosen = per_key.select("key", centre["node"].alias("centre"), centre["n"].alias("centre_n"), F.col("top.label").alias("centre_label"), F.col("major.label").alias("major"), kind.alias("kind"))
+    return materialize(labelled.join(chosen, "key"), "jaccard-open")
+
+
+def _within(few: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link."""
+    columns = ("node", "n", "w", "pos", "mask", "earlier", "label")
+    others = few.where("label <> major").select("key", *[F.col(c).alias(f"u_{c}") for c in columns], "major")
+    every = few.select("key", *[F.col(c).alias(f"v_{c}") for c in columns])
+    once = (F.col("v_label") == F.col("major")) | (F.col("u_node") < F.col("v_node"))
+    return others.join(every, "key").where((F.col("u_label") != F.col("v_label")) & once & _similar_sizes("u_", "v_", percent)).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+
+
 def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
-    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, masks, a row each."""
+    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, masks, common, a row each."""
     spark = nodes.sparkSession
-    listed = nodes.select("node", "n", "masks", F.posexplode("prefix").alias("pos", "key")).withColumn("mask", F.coalesce(F.get("masks", F.col("pos")), F.lit(-1).cast("long"))).drop("masks")
-    entries = listed.unionByName(nodes.select("node", "n", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("mask"), F.explode("subsets").alias("key")))
+    listed = nodes.select("node", "n", "common", "masks", F.posexplode("prefix").alias("pos", "key")).withColumn("mask", F.coalesce(F.get("masks", F.col("pos")), F.lit(-1).cast("long"))).drop("masks")
+    entries = listed.unionByName(nodes.select("node", "n", "common", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("mask"), F.explode("subsets").alias("key")))
     shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("pos").cast("int"), "mask"), "jaccard-buckets")
+    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("n").cast("int").alias("w"), F.col("pos").cast("int"), "mask", F.lit(None).cast("array<long>").alias("earlier"), "common"), "jaccard-buckets")
     del entries, shared
     release_shuffles(spark)
     texts = materialize(texts_of(buckets.select("node").distinct()), "jaccard-texts")
     release_shuffles(spark)
-    stars, n_pivots = None, 1
+    stars, per_member = None, PER_MEMBER
+    fields = ("key", "node", "n", "w", "pos", "mask", "earlier", "common")
     while True:
-        # members of each bucket that still stand for a component of their own
-        if stars is None:
-            open_ = buckets.withColumn("label", F.col("node"))
-        else:
-            labels = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            open_ = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        heads = open_.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos", "mask")).alias("head"), F.count("*").alias("size"))
-        per_key = heads.groupBy("key").agg(F.sum("size").alias("members"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.count("*").alias("labels")).where("labels > 1")
-        whole = (F.col("members") * F.col("members") - F.col("squares")) / 2 <= PER_MEMBER * F.col("members")
-        rest = materialize(open_.join(per_key.select("key", whole.alias("whole")), "key"), "jaccard-open")
-        if rest.isEmpty():
+        rest = _open(buckets, stars, percent, per_member)
+        kinds = {r.kind for r in rest.select("kind").distinct().collect()}
+        if not kinds:
             break
-        # pivots: the least members of the first components of a large bucket; all others of other components meet them
-        large = rest.where("not whole")
-        ranked = large.groupBy("key", "label").agg(F.min(F.struct("node", "n", "pos", "mask")).alias("head")).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("head")))
-        pivots = ranked.where(F.col("rank") <= n_pivots).select("key", F.col("label").alias("u_label"), F.col("head.node").alias("u"), F.col("head.n").alias("u_n"), F.col("head.pos").alias("u_pos"), F.col("head.mask").alias("u_mask"))
-        others = large.select("key", F.col("label").alias("v_label"), F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"), F.col("mask").alias("v_mask"))
-        star = others.join(pivots, "key").where((F.col("u_label") != F.col("v_label")) & _similar_sizes("u_", "v_", percent)).select("u", "v")
-        small = rest.where("whole")
-        left = small.select("key", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "pos", "mask", "label")])
-        right = small.select("key", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "pos", "mask", "label")])
-        full = left.join(right, "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_label") != F.col("v_label")) & _similar_sizes("u_", "v_", percent)).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-        pairs = star.unionByName(full).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        met = rest.where(F.col("kind").isin("new", "many") & (F.col("node") != F.col("centre")))
+        alike = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
+        pairs = met.where((F.col("label") != F.col("centre_label")) & alike).select(F.col("centre").alias("u"), F.col("node").alias("v"))
+        if "few" in kinds:
+            pairs = pairs.unionByName(_within(rest.where("kind = 'few'"), percent))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         likely = materialize(_may_overlap(pairs, nodes, percent), "jaccard-pairs")
         release_shuffles(spark)
         found = _verify(likely, texts, size, percent)
         stars = forest(found if stars is None else found.unionByName(stars))
-        # small buckets are done; a pivot has met all others of its bucket
-        buckets = large.join(pivots.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n", "pos", "mask")
-        n_pivots = PIVOTS if n_pivots == 1 else 4 * n_pivots
+        release_shuffles(spark)
+        parts = []
+        if "new" in kinds:
+            parts.append(rest.where("kind = 'new' and node <> centre").select(*fields))
+        if "wide" in kinds:
+            band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")
+            parts.append(rest.where("kind = 'wide'").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).select(*fields))
+        if "many" in kinds:
+            centred = met.where("kind = 'many'").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+            keys = _delta_keys(_deltas(centred, texts, size), percent)
+            parts.append(keys.join(nodes.select("node", F.col("n").cast("int").alias("n"), "common"), "node").select(*fields))
+            per_member = PER_DELTA
+        if not parts:
+            break
+        buckets = parts[0]
+        for part in parts[1:]:
+            buckets = buckets.unionByName(part)
+        buckets = materialize(buckets, "jaccard-buckets")
         release_shuffles(spark)
     return stars if stars is not None else spark.createDataFrame([], "u long, v long")
 
@@ -274,7 +372,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     rows = materialize(_prepare(docs, size, percent, counts, boundary(sizes, percent)), "jaccard-sets")
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins", "masks"), "jaccard-nodes")
+    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins", "masks", "common"), "jaccard-nodes")
     release_shuffles(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:

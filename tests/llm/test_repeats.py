@@ -1,10 +1,13 @@
 """Repeated spans and similar documents against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from genoloom.llm import debruijn as db
 from genoloom.llm import jaccard as jc
 from genoloom.llm.debruijn import remove_repeats
 from genoloom.llm.store import materialize
@@ -45,6 +48,29 @@ def test_repeats_of_odd_tables(odd_docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+def test_spans_are_compacted_and_have_coordinates(spark, monkeypatch):
+    """A long passage is one span with its places in both texts; a changed word parts it; the words are verified."""
+    a, b, c = ([f"{x}{k}" for k in range(100)] for x in "abc")
+    second = b[:10] + a[20:80] + b[10:20]
+    third = c[:5] + a[20:50] + ["other"] + a[51:80] + c[5:10] + b[30:40] + a[:13]
+    rows = [(1, " ".join(a)), (2, " ".join(second)), (3, "\n".join(third))]
+    seen = []
+
+    def kept(pending, window, own=db.repeated_spans):
+        got = own(pending, window)
+        row = {r.row: r.doc_id for r in pending.select("row", "doc_id").collect()}
+        seen.extend(sorted((row[r.row], r["first"], r.n, row[r.source_row], r.source_first) for r in got.collect()))
+        return got
+
+    monkeypatch.setattr(db, "repeated_spans", kept)
+    got = sorted(tuple(r) for r in remove_repeats(frame(spark, rows).repartition(2)).collect())
+    assert got == brute_repeats(rows, 13)
+    assert seen == [(2, 10, 60, 1, 20), (3, 5, 30, 1, 20), (3, 36, 29, 1, 51), (3, 80, 13, 1, 0)]
+    monkeypatch.setattr(db, "_words_at", lambda pending, wanted, own=db._words_at: own(pending, wanted).withColumn("words", F.lit(b"no such words")))
+    refused = {r.doc_id: r.n_removed for r in remove_repeats(frame(spark, rows)).collect()}
+    assert refused == {1: 0, 2: 0, 3: 13}  # only the span of one window, which is not verified by words, still goes
+
+
 LOW = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
 
@@ -79,10 +105,10 @@ def brute_groups(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent", "per_member", "pivots"), [(3, 90, 16, 32), (1, 50, 2, 8)])
-def test_groups(spark, docs, corpus, monkeypatch, size, percent, per_member, pivots):
+@pytest.mark.parametrize(("size", "percent", "per_member"), [(3, 90, 16), (2, 70, 2)])
+def test_groups(spark, docs, corpus, monkeypatch, size, percent, per_member):
     monkeypatch.setattr(jc, "PER_MEMBER", per_member)
-    monkeypatch.setattr(jc, "PIVOTS", pivots)
+    monkeypatch.setattr(jc, "PER_DELTA", per_member)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.similar_groups(docs.repartition(3), size, percent).collect()}
     assert got == brute_groups(corpus, size, percent)
 
@@ -97,6 +123,41 @@ def test_light_and_heavy_sets_meet(spark, monkeypatch):
             assert got == brute_groups(rows, 1, percent), (light, percent)
 
 
+def test_large_groups_make_few_candidates(spark, monkeypatch):
+    """Near copies of one text with a few words changed, others of unlike sizes that share a passage, and what is compared of them."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 400):
+        w = base[:]
+        for _ in range(rng.choice((1, 1, 2, 2, 3, 4))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(w)))
+    rows += [(k, " ".join(base[:20] + [f"y{k}.{j}" for j in range(rng.randrange(1, 60))])) for k in range(400, 480)]
+    compared, filtered = [], jc._may_overlap
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return filtered(pairs, *more)
+
+    monkeypatch.setattr(jc, "_may_overlap", counted)
+    for size, percent in ((3, 90),):
+        compared.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.similar_groups(frame(spark, rows).repartition(5), size, percent).collect()}
+        assert got == brute_groups(rows, size, percent)
+        assert sum(compared) < 30 * len(rows), compared
+
+
+def test_sizes_far_apart_in_one_bucket(spark, monkeypatch):
+    """A bucket of many sizes is parted by bands, and links between neighbouring bands stay."""
+    monkeypatch.setattr(jc, "PER_MEMBER", 0)
+    monkeypatch.setattr(jc, "PER_DELTA", 0)
+    monkeypatch.setattr(jc, "boundary", lambda sizes, percent: 0)
+    rows = [(k, " ".join(f"w{j}" for j in range(6 + k))) for k in range(0, 60, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.similar_groups(frame(spark, rows), 1, 80).collect()}
+    assert got == brute_groups(rows, 1, 80)
+
+
 def test_boundary_is_the_cheapest():
     import numpy as np
 
