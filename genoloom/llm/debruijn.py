@@ -1,21 +1,28 @@
 """Removal of long repeated spans by de Bruijn compaction (operator 7).
 
-Token k-mers are edges of a de Bruijn graph.  A window of 13 words is labelled
-by its least k-mer (its anchor), which depends on its words alone, and the
-consecutive windows of a text under one anchor are a path.  So:
-
-1. every text gives (anchor, path hash, document) once for each of its paths;
-2. an aggregation by anchor finds the anchors that several documents share and
-   whether all of them follow the same path there (it does not branch);
-3. a join takes that back to the documents.  A path that never branches is
-   settled as a whole: it repeats the smallest document that has the anchor;
-4. only windows of branching anchors, mostly at the ends of repeated spans, are
-   compared one by one, with their source document, by another aggregation and
-   join;
-5. each document drops the words that settled paths and windows cover.
-
-Two documents that share a window share its anchor, so no repeat is lost.  Both
-aggregations combine before the shuffle, both joins have a side with one row a
+Token k-mers, the windows of 13 words, are the edges of a de Bruijn graph; its
+nodes are the 12 words that a window shares with the next.  As usual for large
+graphs, edges are dealt to buckets by their least 5-mer (the anchor, which depends
+on their words alone) and compacted within those first:
+
+1. Every text gives (anchor, path, document) for each run of windows under one
+   anchor.  An aggregation by anchor finds those that several documents share, and
+   whether all follow the same path there.  All else cannot repeat and is left.
+2. What is left gives units with their nodes and coordinates (row, place): a whole
+   run where the anchor does not branch, or else single windows.  An aggregation
+   finds the units of several documents, and a join their source, the smallest
+   document, with the place there.
+3. Degrees of the nodes are counted.  Units that follow one another in the source
+   over a node of one unit in and one out are linked, and nonbranching paths are
+   compacted by joins that double the length of the links.
+4. The units of each document join into spans along a path, with the
+   coordinates of both the document and the source.
+5. Spans longer than two windows are verified word by word with the words at the
+   source's coordinates; shorter ones have two 64-bit hashes in common.  Their words
+   are dropped.
+
+Two documents that share a window share its anchor, so no repeat is lost.
+Aggregations combine before the shuffle, and joins have a side with one row a
 key, so a passage in a third of all documents is split over tasks.  Nothing is
 compared in pairs.
 """
@@ -27,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, release_shuffles
-from .textkernel import EXACT, SPACED, Words, inside_one_text, list_array, ngram_hashes, signed, sliding_min, string_chunks
+from .textkernel import EXACT, SPACED, Words, inside_one_text, list_array, mix64, ngram_hashes, signed, sliding_min, string_chunks
 
 WINDOW = 13
 KMER = 5
@@ -58,14 +66,6 @@ class _Paths:
         self.path_hash = np.add.reduceat(self.hash * odd, self.first)
 
 
-def _covered(n: int, at: np.ndarray, window: int) -> np.ndarray:
-    """Words that the windows starting at ``at`` cover."""
-    change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + window, -1)
-    return np.cumsum(change[:-1]) > 0
-
-
 def _member(row: np.ndarray, key: np.ndarray, of: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     """Whether (row, key) is among (of, keys); rows are below n."""
     _, number = np.unique(np.concatenate([keys, key]), return_inverse=True)
@@ -98,7 +98,8 @@ def paths(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(cut, "anchor long, path long, doc_id long")
 
 
-_MARKED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, plain array<long>, windows array<long>, anchors array<long>"
+_LISTS = ("place", "size", "unit", "check", "head", "tail")
+_MARKED = "row long, doc_id long, n_words long, kept_sha256 string, text string, " + ", ".join(f"{c} array<long>" for c in _LISTS)
 
 
 def _finish(text: bytes, gone: np.ndarray) -> str:
@@ -109,63 +110,139 @@ def _finish(text: bytes, gone: np.ndarray) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
+def _units(words: Words, p: _Paths, straight: np.ndarray, branching: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(place, size in words, unit, check, head, tail) of the straight paths and of the windows of branching ones, by place."""
+    other = mix64(words.hash ^ np.uint64(0x2545F4914F6CDD1D))
+    node = ngram_hashes(words.hash, window - 1)
+    second = ngram_hashes(other, window)[p.at]
+    odd = (np.arange(len(p.at)) - p.first[p.path]).astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)
+    whole = np.add.reduceat(second * odd, p.first)
+    length = np.diff(np.append(p.first, len(p.at)))
+    k, w = np.flatnonzero(straight), np.flatnonzero(branching[p.path])
+    place = np.concatenate([p.at[p.first[k]], p.at[w]])
+    windows = np.concatenate([length[k], np.ones(len(w), np.int64)])
+    unit = np.concatenate([mix64(p.path_hash[k] + length[k].astype(np.uint64)), p.hash[w]])
+    check = np.concatenate([mix64(whole[k] + length[k].astype(np.uint64)), second[w]])
+    order = np.argsort(place, kind="stable")
+    place, windows = place[order], windows[order]
+    return place, windows + window - 1, unit[order], check[order], node[place], node[place + windows]
+
+
 def _settle(joined: DataFrame, window: int, kmer: int) -> DataFrame:
-    """Rows doc_id, text, plain, branching: final where nothing branches, otherwise with what is left to compare."""
+    """Every row, numbered: final if it shares no anchor, otherwise with its text and units."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, data, offsets in string_chunks(batch.column(1)):
                 n = b - a
                 words = Words(data, offsets, SPACED, EXACT)
-                plain_col = batch.column(2).slice(a, n)
-                plain, branching = _flat(plain_col), _flat(batch.column(3).slice(a, n))
-                gone = np.zeros(len(words.hash), dtype=bool)
+                plain, branching = _flat(batch.column(2).slice(a, n)), _flat(batch.column(3).slice(a, n))
                 open_ = np.zeros(n, dtype=bool)
-                hashes = anchors = np.zeros(0, np.uint64)
-                of = np.zeros(0, np.int64)
+                lists = [np.zeros(0, np.int64)] * len(_LISTS)
                 if len(plain[0]) or len(branching[0]):
                     p = _Paths(words, window, kmer)
                     doc, anchor = words.doc[p.at[p.first]], p.anchor[p.first]
-                    gone = _covered(len(words.hash), p.at[_member(doc, anchor, *plain, n)[p.path]], window)
-                    left = _member(doc, anchor, *branching, n)[p.path]
-                    of, hashes, anchors = words.doc[p.at[left]], p.hash[left], p.anchor[left]
+                    units = _units(words, p, _member(doc, anchor, *plain, n), _member(doc, anchor, *branching, n), window)
+                    of = words.doc[units[0]]
                     open_[of] = True
-                removed = np.append(0, np.cumsum(gone))[words.first]
+                    lists = [units[0] - words.first[of], units[1], *map(signed, units[2:])]
                 raw = data.tobytes()
-                count = words.counts()
-                shas, texts = [], []
-                for row in range(n):
-                    text = raw[offsets[row] : offsets[row + 1]]
-                    shas.append(None if open_[row] else _finish(text, gone[words.first[row] : words.first[row + 1]]))
-                    texts.append(text.decode() if open_[row] else None)
-                per = np.bincount(of, minlength=n)
-                keep = pa.array([x if o else None for x, o in zip(plain_col.to_pylist(), open_.tolist(), strict=True)], pa.list_(pa.int64())) if open_.any() else pa.nulls(n, pa.list_(pa.int64()))
+                none = np.zeros(0, dtype=bool)
+                whole = [raw[offsets[k] : offsets[k + 1]] for k in range(n)]
+                shas = [None if o else _finish(t, none) for t, o in zip(whole, open_.tolist(), strict=True)]
+                texts = [t.decode() if o else None for t, o in zip(whole, open_.tolist(), strict=True)]
+                per = np.bincount(of, minlength=n) if len(lists[0]) else np.zeros(n, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(count), pa.array(np.diff(removed)), pa.array(shas, pa.string()), pa.array(texts, pa.string()), keep, list_array(signed(hashes), per, pa.int64()), list_array(signed(anchors), per, pa.int64())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "plain", "windows", "anchors"],
+                    [pa.array(np.arange(row, row + n)), batch.column(0).slice(a, n), pa.array(words.counts()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), *[list_array(x, per, pa.int64()) for x in lists]],
+                    ["row", "doc_id", "n_words", "kept_sha256", "text", *_LISTS],
                 )
+                row += n
 
     return joined.select("doc_id", "text", "plain", "branching").mapInArrow(mark, _MARKED)
 
 
-def _resolve(joined: DataFrame, window: int, kmer: int) -> DataFrame:
-    """Rows doc_id, text, plain, windows: final."""
+def _repeated(pending: DataFrame) -> DataFrame:
+    """The units that are also in a row of another doc_id: row, doc_id, place, size, unit, head, tail, source."""
+    units = pending.select("row", "doc_id", F.explode(F.arrays_zip(*_LISTS)).alias("u")).select("row", "doc_id", "u.*")
+    shared = units.groupBy("unit", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    return units.join(shared, ["unit", "check"]).drop("check")
+
+
+def _compacted(units: DataFrame, window: int) -> DataFrame:
+    """unit, path, offset, source_row, source_start of every repeated unit: the path it is on, how many windows come before it there, and where the path begins in the source."""
+    first = units.where("doc_id = source").groupBy("unit").agg(F.min(F.struct("row", "place")).alias("at"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+    each = materialize(first.select("unit", F.col("at.row").alias("row"), F.col("at.place").alias("place"), (F.col("size") - (window - 1)).alias("n"), "head", "tail"), "repeat-units")
+    # nodes of one unit in and one out
+    leaving = each.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("leaving"))
+    coming = each.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("coming"))
+    single = leaving.where("leaving = 1").join(coming.where("coming = 1"), "node").select("node")
+    before = each.select(F.col("unit").alias("prev"), F.col("row").alias("prev_row"), (F.col("place") + F.col("n")).alias("prev_end"), F.col("n").alias("dist"), F.col("tail").alias("node")).join(single, "node")
+    follows = (F.col("row") == F.col("prev_row")) & (F.col("place") == F.col("prev_end"))
+    links = materialize(each.withColumnRenamed("head", "node").join(before, "node").where(follows).select("unit", "prev", "dist"), "repeat-links")
+    while True:
+        ahead = links.select(F.col("unit").alias("prev"), F.col("prev").alias("further"), F.col("dist").alias("more"))
+        longer = links.join(ahead, "prev", "left")
+        if not longer.where("further is not null").head(1):
+            break
+        links = materialize(longer.select("unit", F.coalesce("further", "prev").alias("prev"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "repeat-links")
+    joined = each.join(links, "unit", "left").select("unit", F.coalesce("prev", "unit").alias("path"), F.coalesce("dist", F.lit(0)).alias("offset"), F.col("row").alias("source_row"), "place")
+    return joined.select("unit", "path", "offset", "source_row", (F.col("place") - F.col("offset")).alias("source_start"))
+
+
+def _spans(units: DataFrame, paths_: DataFrame, window: int) -> DataFrame:
+    """row, first, n, source_row, source_first: runs of repeated units along a path, in words, in rows that are not the source's."""
+    on_path = units.where("doc_id > source").select("row", "place", "size", "unit").join(paths_, "unit").withColumn("start", F.col("place") - F.col("offset"))
+    along = Window.partitionBy("row", "path", "start").orderBy("place")
+    gap = F.coalesce(F.lag(F.col("place") + F.col("size") - (window - 1)).over(along) != F.col("place"), F.lit(True))
+    runs = on_path.withColumn("run", F.sum(gap.cast("int")).over(along))
+    whole = runs.groupBy("row", "path", "start", "run").agg(F.min("place").alias("first"), F.max(F.col("place") + F.col("size")).alias("end"), F.first("source_row").alias("source_row"), F.first("source_start").alias("source_start"))
+    return whole.select("row", "first", (F.col("end") - F.col("first")).alias("n"), "source_row", (F.col("source_start") + F.col("first") - F.col("start")).alias("source_first"))
+
+
+def _words_at(pending: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source_row, source_first, n, words: the words of those rows at those places, joined by one space."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, spans in zip(*(batch.column(c) for c in range(3)), strict=True):
+                ws, at = text.as_py().encode().split(), spans.as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row.as_py()] * len(at), pa.int64()), pa.array([x["source_first"] for x in at], pa.int64()), pa.array([x["n"] for x in at], pa.int64()), pa.array([b" ".join(ws[x["source_first"] : x["source_first"] + x["n"]]) for x in at], pa.binary())],
+                    ["source_row", "source_first", "n", "words"],
+                )
+
+    lists = wanted.groupBy("source_row").agg(F.collect_list(F.struct("source_first", "n")).alias("spans"))
+    texts = pending.select(F.col("row").alias("source_row"), "text").join(lists, "source_row")
+    return texts.mapInArrow(cut, "source_row long, source_first long, n long, words binary")
+
+
+def _resolve(joined: DataFrame) -> DataFrame:
+    """Rows doc_id, text, spans (first, n, words to verify or null): final."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in string_chunks(batch.column(1)):
-                n = b - a
-                words = Words(data, offsets, SPACED, EXACT)
-                p = _Paths(words, window, kmer)
-                doc = words.doc[p.at]
-                hit = _member(doc, p.anchor, *_flat(batch.column(2).slice(a, n)), n) | _member(doc, p.hash, *_flat(batch.column(3).slice(a, n)), n)
-                gone = _covered(len(words.hash), p.at[hit], window)
-                removed = np.append(0, np.cumsum(gone))[words.first]
-                raw = data.tobytes()
-                shas = [_finish(raw[offsets[row] : offsets[row + 1]], gone[words.first[row] : words.first[row + 1]]) for row in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(words.counts()), pa.array(np.diff(removed)), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            counts, removed, shas = [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                raw = text.as_py().encode()
+                ws = raw.split()
+                gone = np.zeros(len(ws), dtype=bool)
+                for x in spans.as_py() or []:
+                    if x["words"] is None or x["words"] == b" ".join(ws[x["first"] : x["first"] + x["n"]]):
+                        gone[x["first"] : x["first"] + x["n"]] = True
+                counts.append(len(ws))
+                removed.append(int(gone.sum()))
+                shas.append(_finish(raw, gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return joined.select("doc_id", "text", "spans").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
-    return joined.select("doc_id", "text", "plain", "windows").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+def repeated_spans(pending: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row, first, n, source_row, source_first of the spans of rows with units (see :func:`_settle`) that an earlier document has."""
+    units = materialize(_repeated(pending), "repeat-shared")
+    release_shuffles(pending.sparkSession)
+    return materialize(_spans(units, _compacted(units, window), window), "repeat-spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,9 +260,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_c
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("path").alias("p0"), F.max("path").alias("p1"))
         .where("source < last")
-        .select("anchor", "source", (F.col("p0") == F.col("p1")).alias("straight"))
+        .select("anchor", (F.col("p0") == F.col("p1")).alias("straight"))
     )
-    back = found.select("anchor", "doc_id").join(shared, "anchor").where("not straight or doc_id > source")
+    back = found.select("anchor", "doc_id").join(shared, "anchor")
     lists = materialize(
         back.groupBy("doc_id").agg(F.collect_set(F.when(F.col("straight"), F.col("anchor"))).alias("plain"), F.collect_set(F.when(~F.col("straight"), F.col("anchor"))).alias("branching")),
         "repeat-anchors",
@@ -194,10 +271,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, id_c
     release_shuffles(spark)
     marked = materialize(_settle(docs.join(lists, "doc_id", "left"), window, kmer), "repeat-marks")
     release_shuffles(spark)
-    final = marked.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    final = marked.where("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     pending = marked.where("kept_sha256 is null")
-    edges = pending.select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("e")).select("doc_id", F.col("e.anchors").alias("anchor"), F.col("e.windows").alias("window"))
-    source = edges.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    repeated = edges.join(source, ["anchor", "window"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
-    rest = _resolve(pending.select("doc_id", "text", "plain").join(repeated, "doc_id", "left"), window, kmer)
+    spans = repeated_spans(pending, window)
+    release_shuffles(spark)
+    at_source = ["source_row", "source_first", "n"]
+    words = _words_at(pending, spans.where(F.col("n") > 2 * window).select(*at_source).distinct())
+    lists = spans.join(words, at_source, "left").groupBy("row").agg(F.collect_list(F.struct("first", "n", "words")).alias("spans"))
+    rest = _resolve(pending.select("row", "doc_id", "text").join(lists, "row", "left"))
     return final.unionByName(rest)
