@@ -11,12 +11,15 @@ Words are counted over all documents, one row a distinct word (its 64-bit hash).
 The most frequent of them, FREQUENT at most, go to all tasks; the others meet
 their counts in a join.
 
-The network is trained in numpy on all documents: each task starts from the same
-parameters and trains on its own documents; the parameters are averaged, weighted
-by tokens, with one aggregation a round.  Rounds go on until the log-likelihood
-of texts held out stops growing; those are then learnt in a last round over all
-texts.  The parameters depend on how rows lie in partitions.  The network's size
-is fixed, the table of words grows with the distinct words.
+The network is trained in numpy on all documents, in ROUNDS short rounds: each
+learns the texts of one slice (by hash, so copies are together).  In a round each
+task starts from the same parameters and trains on its own texts of the slice; the
+parameters, and the sums of squared gradients that set the steps, are averaged,
+weighted by tokens, with one aggregation.  A slice is new to the parameters that
+it is begun with, so the log-likelihood of its tokens as they are first seen is a
+held-out measure that needs no pass of its own.  The parameters depend on how
+rows lie in partitions.  The network's size is fixed, the table of words grows
+with the distinct words.
 """
 
 from __future__ import annotations
@@ -48,15 +51,15 @@ _SHAPES = {
 }
 SIZE = sum(a * b for a, b in _SHAPES.values())
 CHUNK = 1024
-#: One text in so many tells when to stop, at a gain of less than GAIN a token.
-HELD_OUT, GAIN = 64, 0.02
+#: Slices that all texts are dealt to, and learnt one after another.
+ROUNDS = 4
 #: Words whose counts every task holds.
 FREQUENT = 1 << 18
 _UNIT = float(1 << 32)  # logarithms of counts are added up as whole numbers, so that their order is of no matter
 
 
 class Model(NamedTuple):
-    """Network parameters; words counted: by slot, the frequent ones (sorted hashes and log counts), and all (word, n)."""
+    """Network parameters; words counted: by slot, the frequent ones (sorted hashes and log counts), and all (word, n); held-out log-likelihoods."""
 
     flat: np.ndarray
     slots: np.ndarray
@@ -81,7 +84,7 @@ def contexts(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The REACH tokens on either side of each token, within its text."""
     n = len(token)
     doc = np.repeat(np.arange(len(counts)), counts)
-    out = np.full((n, 2 * REACH), BLANK, dtype=np.int64)
+    out = np.full((n, 2 * REACH), BLANK, dtype=np.uint16)
     for k in range(1, REACH + 1):
         if n > k:
             same = doc[k:] == doc[:-k]
@@ -90,17 +93,27 @@ def contexts(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 16-bit keys, sum of the rows of each)."""
+    order = np.argsort(key, kind="stable")  # a radix sort, at this width
+    ordered = key[order]
+    last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+    total = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
+    return ordered[last], np.diff(total, axis=0, prepend=0).astype(np.float32)
+
+
 class Network:
     """Parameters, forward pass and one step of AdaGrad."""
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None):
         self.flat = flat.astype(np.float32).copy()
+        self.squares = np.full(SIZE, 1e-3, np.float32) if squares is None else squares.astype(np.float32).copy()
         self.p: dict[str, np.ndarray] = {}
+        self.seen: dict[str, np.ndarray] = {}
         at = 0
         for name, (a, b) in _SHAPES.items():
-            self.p[name] = self.flat[at : at + a * b].reshape(a, b)
+            self.p[name], self.seen[name] = (x[at : at + a * b].reshape(a, b) for x in (self.flat, self.squares))
             at += a * b
-        self.seen = {name: np.full(shape, 1e-3, dtype=np.float32) for name, shape in _SHAPES.items()}
 
     @staticmethod
     def fresh(seed: int = 3, slots: np.ndarray | None = None) -> np.ndarray:
@@ -113,23 +126,31 @@ class Network:
             p["wa"], p["wb"] = p["wa"] * 0.1, p["wb"] * 0.1
         return np.concatenate([x.ravel().astype(np.float32) for x in p.values()])
 
+    @staticmethod
+    def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exponentials, their sums by row); logits are shifted only where they would overflow."""
+        e = np.exp(logits)
+        z = e.sum(axis=1)
+        if not (z.min(initial=1) > 1e-30 and z.max(initial=1) < 1e30):
+            logits -= logits.max(axis=1, keepdims=True)
+            e = np.exp(logits)
+            z = e.sum(axis=1)
+        return e, z
+
     def _forward(self, context: np.ndarray, token: np.ndarray):
         p = self.p
         x = p["embed"][context].reshape(len(context), -1)
         h = np.tanh(x @ p["w1"] + p["b1"])
         a, b = token >> CLASS_BITS, token & (SIDE - 1)
         la = h @ p["wa"] + p["ba"]
-        la -= la.max(axis=1, keepdims=True)
-        ea = np.exp(la)
-        za = ea.sum(axis=1)
-        g = h * (1 + p["ea"][a])
+        scale = 1 + p["ea"][a]
+        g = h * scale
         lb = g @ p["wb"] + p["bb"][a]
-        lb -= lb.max(axis=1, keepdims=True)
-        eb = np.exp(lb)
-        zb = eb.sum(axis=1)
+        ea, za = self._softmax(la)
+        eb, zb = self._softmax(lb)
         rows = np.arange(len(token))
-        log = la[rows, a] - np.log(za) + lb[rows, b] - np.log(zb)
-        return log, (x, h, a, b, ea / za[:, None], g, eb / zb[:, None], rows)
+        log = la[rows, a] + lb[rows, b] - np.log(za) - np.log(zb)
+        return log, (x, h, a, b, ea, za, scale, g, eb, zb, rows)
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         parts = [self._forward(context[i : i + 4 * BATCH], token[i : i + 4 * BATCH])[0] for i in range(0, len(token), 4 * BATCH)]
@@ -139,35 +160,33 @@ class Network:
         self.seen[name] += gradient * gradient
         self.p[name] -= rate * gradient / np.sqrt(self.seen[name])
 
-    def step(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
-        _, (x, h, a, b, da, g, db, rows) = self._forward(context, token)
+    def step(self, context: np.ndarray, token: np.ndarray, rate: float) -> float:
+        """Learns the tokens; the sum of their log-probabilities before."""
+        log, (x, h, a, b, da, za, scale, g, db, zb, rows) = self._forward(context, token)
         p, n = self.p, np.float32(len(token))
-        da[rows, a] -= 1
-        db[rows, b] -= 1
-        da /= n
-        db /= n
+        da *= (1 / (n * za))[:, None]
+        db *= (1 / (n * zb))[:, None]
+        da[rows, a] -= 1 / n
+        db[rows, b] -= 1 / n
         dg = db @ p["wb"].T
-        dh = (da @ p["wa"].T + dg * (1 + p["ea"][a])) * (1 - h * h)
-        dx = dh @ p["w1"].T
+        dh = (da @ p["wa"].T + dg * scale) * (1 - h * h)
         of_class = np.zeros((len(token), SIDE), np.float32)
         of_class[rows, a] = 1
         ga, gb = of_class.T @ (dg * h), of_class.T @ db
-        flat = context.ravel()
-        used, place = np.unique(flat, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        first = np.searchsorted(place[order], np.arange(len(used)))
-        ge = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
-        self.seen["embed"][used] += ge * ge
-        p["embed"][used] -= rate * ge / np.sqrt(self.seen["embed"][used])
+        used, ge = _sums_by(context.ravel(), (dh @ p["w1"].T).reshape(-1, WIDTH))
+        seen = self.seen["embed"][used] + ge * ge
+        self.seen["embed"][used] = seen
+        p["embed"][used] -= rate * ge / np.sqrt(seen)
         for name, gradient in (("w1", x.T @ dh), ("b1", dh.sum(axis=0, keepdims=True)), ("wa", h.T @ da), ("ba", da.sum(axis=0, keepdims=True)), ("wb", g.T @ db), ("ea", ga), ("bb", gb)):
             self._move(name, gradient, rate)
+        return float(log.sum(dtype=np.float64))
 
 
-def _learn(docs: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
-    """Parameters after one pass of every task over its texts, averaged by tokens; flat if there are none."""
+def _learn(docs: DataFrame, flat: np.ndarray, squares: np.ndarray | None, rate: float) -> tuple[np.ndarray, np.ndarray | None, float | None]:
+    """(parameters, squared gradients) after one pass of every task over its texts, averaged by tokens; mean log-likelihood of a slot as first seen."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(flat), 0
+        net, seen, log = Network(flat, squares), 0, 0.0
         for batch in batches:
             for _, _, data, offsets in string_chunks(batch.column(0)):
                 token, counts = tokens(data, offsets)
@@ -175,19 +194,20 @@ def _learn(docs: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
                 order = np.random.default_rng(len(token)).permutation(len(token))
                 for i in range(0, len(token), BATCH):
                     at = order[i : i + BATCH]
-                    net.step(context[at], token[at], rate)
+                    log += net.step(context[at], token[at], rate)
                 seen += len(token)
         if seen:
-            for k in range(0, SIZE, CHUNK):
-                part = net.flat[k : k + CHUNK].astype(np.float64) * seen
+            both = np.concatenate([net.flat, net.squares, [log / seen]]).astype(np.float64) * seen
+            for k in range(0, len(both), CHUNK):
+                part = both[k : k + CHUNK]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["k", "v", "seen"])
 
     sums = docs.select("text").mapInArrow(learn, "k int, v double, seen long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("seen").alias("seen")).toArrow()
     if not sums.num_rows:
-        return flat
-    out = flat.copy()
-    out[sums["k"].to_numpy()] = (sums["v"].to_numpy() / sums["seen"].to_numpy()).astype(np.float32)
-    return out
+        return flat, squares, None
+    out = np.zeros(2 * SIZE + 1)
+    out[sums["k"].to_numpy()] = sums["v"].to_numpy() / sums["seen"].to_numpy()
+    return out[:SIZE].astype(np.float32), out[SIZE:-1].astype(np.float32), float(out[-1])
 
 
 def slot_likelihood(docs: DataFrame, flat: np.ndarray) -> float | None:
@@ -205,29 +225,19 @@ def slot_likelihood(docs: DataFrame, flat: np.ndarray) -> float | None:
     return whole.v / whole.n if whole.n else None
 
 
-def fit(docs: DataFrame, slots: np.ndarray | None = None, rounds: int = 4, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> tuple[np.ndarray, list[float]]:
-    """(parameters fitted on all texts of docs, mean held-out log-likelihood of a slot after the warm-up and each round before the last).
+def fit(docs: DataFrame, slots: np.ndarray | None = None, epochs: int = 1, rate: float = 0.1, seed: int = 3, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """(parameters fitted on all texts of docs, mean log-likelihood of a slot in each round before it is learnt).
 
-    With the words counted by slot the network starts at the slots' shares.  A
-    first, short round over one text in ``warm_up`` (by hash) gives all tasks a
-    common start.  Full rounds leave out one text in HELD_OUT (by hash, so with its
-    copies) until these gain less than GAIN a token, or ``rounds`` less one are
-    done; the last round covers all texts.  Tables too small for held-out tokens
-    get all rounds.
+    With the words counted by slot the network starts at the slots' shares.  An
+    epoch learns every text once, in ``rounds`` slices; the measures of the first
+    epoch are of texts that the network has not seen.
     """
-    flat, measured = Network.fresh(seed, slots), []
-    place = F.pmod(F.xxhash64("text"), F.lit(warm_up * HELD_OUT))
-    out = place < warm_up
-    held, rest = docs.where(out), docs.where(~out)
-    flat = _learn(rest.where(F.pmod(place, F.lit(warm_up)) == 0), flat, rate)
-    for k in range(rounds):
-        if k:
-            flat = _learn(rest, flat, rate)
-        now = slot_likelihood(held, flat)
-        measured += [now] if now is not None else []
-        if len(measured) > 1 and measured[-1] - measured[-2] < GAIN:
-            break
-    return _learn(docs, flat, rate), measured
+    flat, squares, measured = Network.fresh(seed, slots), None, []
+    for k in range(epochs * rounds):
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k % rounds) if rounds > 1 else docs
+        flat, squares, log = _learn(part, flat, squares, rate)
+        measured += [log] if log is not None else []
+    return flat, measured
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -242,13 +252,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "likelihood-words")
 
 
-def train(docs: DataFrame, rounds: int = 4, rate: float = 0.1, seed: int = 3, warm_up: int = 8) -> Model:
+def train(docs: DataFrame, epochs: int = 1, rate: float = 0.1, seed: int = 3, rounds: int = ROUNDS) -> Model:
     """The network fitted on all texts of docs (see :func:`fit`), and their words counted."""
     words = count_words(docs)
     slots = np.zeros(VOCABULARY, np.int64)
     found = words.groupBy(F.shiftrightunsigned("word", 64 - 2 * CLASS_BITS).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
     slots[found["slot"].to_numpy()] = found["n"].to_numpy()
-    flat, held_out = fit(docs, slots, rounds, rate, seed, warm_up)
+    flat, held_out = fit(docs, slots, epochs, rate, seed, rounds)
     power, held = 64, 0
     for r in sorted(words.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
         held += r["count"]
@@ -299,10 +309,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.drop("others").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 4, rate: float = 0.1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, epochs: int = 1, rate: float = 0.1) -> DataFrame:
     """Trains on all texts and scores every row; see :func:`score`.
 
     Null ids and repeated rows are scored like others; an empty table gives no
     rows; other columns are not read.
     """
-    return score(docs, train(docs.select(F.col("text").cast("string").alias("text")), rounds, rate))
+    return score(docs, train(docs.select(F.col("text").cast("string").alias("text")), epochs, rate))
