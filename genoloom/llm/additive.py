@@ -4,12 +4,16 @@ A vector is approximated by a sum of full-dimensional codewords, one of each
 codebook.  Codebooks come from residual k-means on a bounded sample; every
 vector is then encoded by beam search, and its codes and the norm of its
 approximation are stored.  A query makes one table of inner products with all
-codewords; the score of a vector is a sum of looked-up numbers.  The best are
-ranked again on the original vectors.
-
-Queries meet all codes in blocks: packed shards of codes and packed blocks of
-queries, joined on their numbers, so a task holds one of each however many there
-are.  Equal vectors are searched once and stand for their smallest ids.
+codewords; the score of a vector is a sum of looked-up numbers.  Vectors lie by
+descending norm: a score is the query's norm times the stored one at most, so a
+search ends where no vector can be among the best any more.  The best are ranked
+again on the original vectors.
+
+Queries meet all codes in packed shards of codes and packed blocks of queries; the
+join's key is the pair of both numbers, so there are as many keys as pairs, and
+a task holds one of each however many there are.  The best of a query are merged
+FAN_IN shards at a time.  Equal vectors are searched once and stand for their
+smallest ids.
 """
 
 from __future__ import annotations
@@ -27,7 +31,13 @@ from .textkernel import list_array
 
 #: Most vectors that codebooks are fitted on.
 SAMPLE = 16_384
-SHARD_ROWS, QUERY_ROWS = 65_536, 256
+SHARD_ROWS, QUERY_ROWS = 8_192, 1_024
+#: Codes that a query scores before it looks whether the rest can be left out.
+STEP = 2_048
+#: Shards whose best are merged in one row.
+FAN_IN = 16
+#: Tasks that a search is dealt to at most.
+MOST_TASKS = 8_192
 
 
 @dataclass(frozen=True)
@@ -98,15 +108,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _pack(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """One row for each value of group, with the columns' contents as bytes in order of id."""
+    """One row for each value of group, with the columns' contents as bytes, in descending order of norm if there is one, then of id."""
+    order = [*([("norm", "descending")] if "norm" in columns else []), ("id", "ascending")]
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id").combine_chunks()
+        table = table.sort_by(order).combine_chunks()
         parts = []
         for c in columns:
             column = table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]
             if pa.types.is_list(column.type):
                 column = column.flatten()
+            if pa.types.is_floating(column.type):
+                column = column.cast(pa.float32())
             raw = b"".join(column.to_pylist()) if pa.types.is_binary(column.type) else column.to_numpy(zero_copy_only=False).tobytes()
             parts.append(pa.array([raw], pa.binary()))
         return pa.table([table[group].slice(0, 1).combine_chunks(), *parts], names=[group, *columns])
@@ -114,6 +127,23 @@ def _pack(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return rows.select(group, *columns).groupBy(group).applyInArrow(pack, f"{group} int, " + ", ".join(f"{c} binary" for c in columns))
 
 
+def _best_codes(table: np.ndarray, reach: float, place: np.ndarray, ids: np.ndarray, norms: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, negated scores) of the ``keep`` best of a shard, ties to the smaller id; reach is the query's norm."""
+    best_id, best_score = np.zeros(0, np.int64), np.zeros(0, np.float32)
+    for a in range(0, len(ids), STEP):
+        if len(best_id) == keep and reach * float(norms[a]) * 1.0001 < -float(best_score[-1]):
+            break
+        own = place[:, a : a + STEP]
+        score = table[own[0]]
+        for at in own[1:]:
+            score += table[at]
+        score, those = np.append(best_score, -score), np.append(best_id, ids[a : a + STEP])
+        few = np.flatnonzero(score <= np.partition(score, keep - 1)[keep - 1]) if len(score) > keep else np.arange(len(score))
+        few = few[np.lexsort((those[few], score[few]))][:keep]
+        best_id, best_score = those[few], score[few]
+    return best_id, best_score
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 32, rerank: int = 640, beam: int = 4, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query.
 
@@ -121,10 +151,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 32,
     row is no candidate; ties go to the smaller vec_id; score is the inner product
     of the original vectors in double precision.  Rows with a null vec_id and
     vectors that :func:`usable` refuses, or of another length than most, take no
-    part; repeated rows count once.  Without usable rows the result is empty.
+    part; repeated rows count once.  Without usable rows the result is empty.  A
+    table of doubles is searched by its single-precision values and ranked on the
+    doubles.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null").where(usable(F.col("embedding")))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if kind == 'float' else 'double'}>").alias("embedding")).where("vec_id is not null").where(usable(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
@@ -149,15 +182,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 32,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, norms = model.encode(_matrix(batch.column(1)).astype(np.float32), beam) if batch.num_rows else (np.zeros((0, books), np.uint8), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], ["id", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(norms).astype(np.float32))], ["id", "codes", "norm"])
 
     index = materialize(classes.select("id", "embedding").mapInArrow(encode, "id long, codes binary, norm float"), "ann-codes")
     n_shards, n_blocks = -(-totals.n // SHARD_ROWS), -(-int(totals.q) // QUERY_ROWS)
     number = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    shards = _pack(index.withColumn("shard", number(n_shards, 1)), "shard", ["id", "codes"])
+    shards = _pack(index.withColumn("shard", number(n_shards, 1)), "shard", ["id", "codes", "norm"])
     blocks = _pack(classes.where("asks").select("id", "embedding", number(n_blocks, 2).alias("block")), "block", ["id", "embedding"])
-    every = shards.select("shard", F.col("id").alias("ids"), "codes", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    pairs = every.join(blocks.select("block", F.col("id").alias("query_ids"), F.col("embedding").alias("queries")), "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = shards.select("shard", F.col("id").alias("ids"), "codes", F.col("norm").alias("norms"), every(n_blocks).alias("block"))
+    right = blocks.select("block", F.col("id").alias("query_ids"), F.col("embedding").alias("queries"), every(n_shards).alias("shard"))
+    pairs = left.repartition(min(n_shards * n_blocks, MOST_TASKS), "shard", "block").join(right, ["shard", "block"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,28 +201,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 32,
                 codes = np.frombuffer(batch.column(1)[row].as_py(), dtype=np.uint8).reshape(len(ids), -1)
                 qid = np.frombuffer(batch.column(2)[row].as_py(), dtype=np.int64)
                 q = np.frombuffer(batch.column(3)[row].as_py(), dtype=np.float32).reshape(len(qid), -1)
+                norms = np.frombuffer(batch.column(4)[row].as_py(), dtype=np.float32)
                 m, w, d = model.words.shape
                 place = codes.T.astype(np.intp) + (np.arange(m) * w)[:, None]
                 tables = q @ model.words.reshape(m * w, d).T
                 got_n, got_id, got_s = [], [], []
-                for table in tables:
-                    score = table[place[0]]
-                    for at in place[1:]:
-                        score += table[at]
-                    score = -score
-                    best = np.arange(len(ids))
-                    if len(ids) > rerank:
-                        best = np.flatnonzero(score <= np.partition(score, rerank - 1)[rerank - 1])
-                    best = best[np.lexsort((ids[best], score[best]))][:rerank]
+                for table, reach in zip(tables, np.sqrt(np.square(q).sum(axis=1)), strict=True):
+                    best, score = _best_codes(table, float(reach), place, ids, norms, rerank)
                     got_n.append(len(best))
-                    got_id.append(ids[best])
-                    got_s.append(score[best])
+                    got_id.append(best)
+                    got_s.append(score)
                 structs = pa.StructArray.from_arrays([pa.array(np.concatenate(got_s).astype(np.float32)), pa.array(np.concatenate(got_id))], ["s", "id"])
                 offsets = pa.array(np.append(0, np.cumsum(got_n)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.ListArray.from_arrays(offsets, structs)], ["q", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), batch.column(5)[row].as_py(), np.int32)), pa.ListArray.from_arrays(offsets, structs)], ["q", "shard", "found"])
 
-    found = pairs.select("ids", "codes", "query_ids", "queries").mapInArrow(search, "q long, found array<struct<s:float,id:long>>")
-    best = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, rerank).alias("found"))
+    best = pairs.select("ids", "codes", "query_ids", "queries", "norms", "shard").mapInArrow(search, "q long, shard int, found array<struct<s:float,id:long>>")
+    left_over = n_shards
+    while left_over > 1:  # each row holds the best of FAN_IN shards at most
+        left_over = -(-left_over // FAN_IN)
+        best = best.groupBy("q", F.floor(F.col("shard") / FAN_IN).cast("int").alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, rerank).alias("found"))
     candidates = best.select("q", F.explode("found.id").alias("id"))
     exact = (
         candidates.join(classes.select(F.col("id").alias("q"), F.col("embedding").alias("query")), "q")
