@@ -253,12 +253,12 @@ def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     What is ordered, w elements of each, is the set itself or its delta from one
     centre; in both cases (w + w' - k (n + n')) / 2 elements must be common.  Those
     before this one are none if the masks of both have no bit in common, and
-    otherwise as many as the shorter of both beginnings at most.  Deltas carry their
-    earlier elements; a pair with one in common is met at that one.
+    otherwise as many as the shorter of both beginnings at most.  Where the earlier
+    elements of both are known, a pair with one in common is met at that one.
     """
     n, m, i, j, v, w = (F.col(f"{side}{c}") for c in ("n", "pos", "w") for side in (a, b))
     need = F.ceil((v + w - F.lit((100 - percent) / (100 + percent)) * (n + m)) / 2 - F.lit(1e-6))
-    before = F.when(F.col(f"{a}mask").bitwiseAND(F.col(f"{b}mask")) == 0, 0).otherwise(F.least(i, j))
+    before = F.when((F.col(f"{a}mask").bitwiseAND(F.col(f"{b}mask")) == 0) | (F.col(f"{a}earlier").isNotNull() & F.col(f"{b}earlier").isNotNull()), 0).otherwise(F.least(i, j))
     most = before + 1 + F.least(v - i - 1, w - j - 1)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need)) & ~F.coalesce(F.arrays_overlap(f"{a}earlier", f"{b}earlier"), F.lit(False))
 
@@ -297,8 +297,9 @@ def _open(buckets: DataFrame, stars: DataFrame | None, percent: int, per_member:
     return materialize(labelled.join(chosen, "key"), "jaccard-open")
 
 
-def _within(few: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link."""
+def _within(few: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link; at their first common element alone."""
+    few = few.join(nodes.select("node", "prefix"), "node").withColumn("earlier", F.when(F.col("pos") >= 0, F.coalesce("earlier", F.expr("slice(prefix, 1, greatest(pos, 0))"))))
     columns = ("node", "n", "w", "pos", "mask", "earlier", "label")
     others = few.where("label <> major").select("key", *[F.col(c).alias(f"u_{c}") for c in columns], "major")
     every = few.select("key", *[F.col(c).alias(f"v_{c}") for c in columns])
@@ -328,7 +329,7 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         alike = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
         pairs = met.where((F.col("label") != F.col("centre_label")) & alike).select(F.col("centre").alias("u"), F.col("node").alias("v"))
         if "few" in kinds:
-            pairs = pairs.unionByName(_within(rest.where("kind = 'few'"), percent))
+            pairs = pairs.unionByName(_within(rest.where("kind = 'few'"), nodes, percent))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         likely = materialize(_may_overlap(pairs, nodes, percent), "jaccard-pairs")
         release_shuffles(spark)
