@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .textkernel import EXACT, SPACED, Words, _word_bytes, list_array, string_chunks
 
 LINES = _word_bytes([(0x0A, 0x0A)])
+#: Labels that :func:`drop_low_quality` learns from, at most.
+LEARNT = 1 << 18
 #: Typical words added to each text's statistics.
 STEADY_WORDS = 20.0
 
@@ -234,16 +236,48 @@ def quality_scores(docs: DataFrame, labels: DataFrame, to_pooled: float = 0.1, t
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _learnt(docs: DataFrame, labels: DataFrame, text_col: str, most: int = LEARNT) -> DataFrame:
+    """label, x of the rows of docs with labels to learn from, in one pass without a shuffle.
+
+    labels: doc_id, label.  The labels go along with the tasks; beyond ``most`` of
+    them, those of a share of the documents (by hash) do.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    found = known.select("doc_id", F.col("label").cast("int").alias("label")).toArrow()
+    ids, place = np.unique(found["doc_id"].to_numpy(), return_inverse=True)
+    times = np.zeros((2, len(ids)), np.int64)
+    np.add.at(times, (found["label"].to_numpy(), place), 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            rows = np.flatnonzero((ids[at] == own) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
+            if len(rows):
+                x = _of_column(batch.column(1).take(pa.array(rows)))
+                k, label = (np.concatenate(y) for y in zip(*[(np.repeat(np.arange(len(rows)), m[at[rows]]), np.full(m[at[rows]].sum(), c)) for c, m in enumerate(times)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), list_array(x[k].ravel(), np.full(len(k), x.shape[1]), pa.float64())], ["label", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "label int, x array<double>")
+
+
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs scored at least ``least``, with all their columns.
 
-    The model is fitted as in :func:`quality_scores`; rows are then scored and
-    filtered in one pass without a shuffle.
+    The model is fitted as in :func:`quality_scores`, on the statistics of rows with
+    labels to learn from alone; rows are then scored and filtered in one pass
+    without a shuffle.  Null and empty texts are scored as the zero vector, rows with
+    null ids like others; repeated rows stay or go together; without labels all have
+    the score 0.5; an empty table gives no rows.  Other columns, whatever their
+    names, go along.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     from .store import materialize
 
-    model = fit(materialize(_training(features(docs), known.withColumnRenamed("label", "quality")), "quality-training"))
+    model = fit(materialize(_learnt(docs, known, text_col), "quality-training"))
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
