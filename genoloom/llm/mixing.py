@@ -139,16 +139,23 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rat
 
 
 def sample_mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rate: float = 1.0, seed: int = 11, topic: Column | None = None) -> DataFrame:
-    """The rows of docs that :func:`mix` samples, with all their columns."""
+    """The rows of docs that :func:`mix` samples, with all their columns, whatever their names.
+
+    Null source, lang and topic are values of their own; texts without words, null
+    or not, stay; repeated rows stay or go together; an empty table gives no rows.
+    """
     topic = topic_of(F.col("text")) if topic is None else topic
     chances = _chances(with_cells(docs, topic), targets, rate)
-    own = {d: f"_mix_{d}" for d in DIMENSIONS}
+    mark = "_mix"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    own = {d: f"{mark}_{d}" for d in DIMENSIONS}
     keyed = docs.withColumns({
         own["source"]: F.coalesce(F.col("source").cast("string"), F.lit(NO_VALUE)),
         own["lang"]: F.coalesce(F.col("lang").cast("string"), F.lit(NO_VALUE)),
         own["topic"]: F.coalesce(topic.cast("string"), F.lit(NO_VALUE)),
     })
-    chances = chances.select(*[F.col(d).alias(own[d]) for d in DIMENSIONS], F.col("probability").alias("_mix_probability"))
+    chances = chances.select(*[F.col(d).alias(own[d]) for d in DIMENSIONS], F.col("probability").alias(f"{mark}_probability"))
     blank = word_count(F.col("text").cast("string")) == 0
     joined = keyed.join(chances, list(own.values()))
-    return joined.where(blank | (_draw(F.xxhash64(F.col("doc_id"), F.col("text")), seed) < F.col("_mix_probability"))).select(*docs.columns)
+    return joined.where(blank | (_draw(F.xxhash64(F.col("doc_id"), F.col("text")), seed) < F.col(f"{mark}_probability"))).select(*docs.columns)

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -3,13 +3,15 @@
 Training texts are cut into shards of whole texts.  A shard's words become
 numbers (0 for words which no benchmark item has), and a suffix array is built
 over the suffixes that begin with enough benchmark words in a row to hold a
-window at all; no other suffix can match.  Every benchmark suffix is searched
-in the array by bisection, all at once.  Occurrences on one diagonal of a text
+window at all; no other suffix can match.  Every benchmark suffix, cut to the
+length of a window and each distinct one once, is searched in the array by
+bisection, all at once.  Occurrences on one diagonal of a text
 and an item join into the longest verbatim match, with its place in both.
 
 The benchmark goes to the workers in blocks of bounded size; texts pass through
-the blocks one after another, inside one task, so no shuffle is needed however
-large the benchmark is.
+CHAINED blocks one after another, inside one task, so no shuffle is needed however
+large the benchmark is.  Beyond that the state is written to the shared folder,
+and the driver lets go of those blocks.
 """
 
 from __future__ import annotations
@@ -22,22 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .textkernel import ALNUM, LOWER, Words, list_array, string_chunks
 
 WINDOW = 10
-#: Most bytes of benchmark text in one block (and so in one closure sent to the workers).
-BLOCK_BYTES = 8 << 20
+#: Most bytes of benchmark text in one block; its arrays, in one closure sent to the workers, take some 20 times as much.
+BLOCK_BYTES = 2 << 20
+#: Blocks that one pass over the texts goes through, and so the most that the driver holds.
+CHAINED = 8
 
 
 @dataclass(frozen=True)
 class Block:
     """Benchmark items: word hashes one after another, and each distinct window with its items.
 
+    known: whether an item has an id; those without count for hits alone.
     vocabulary: sorted distinct word hashes; seq: their numbers from 1, 0 between items.
     windows: by length, (matrix of distinct windows as rows, first place in seq of each).
     """
 
     item_ids: np.ndarray
+    known: np.ndarray
     vocabulary: np.ndarray
     seq: np.ndarray
     windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -45,7 +52,7 @@ class Block:
     shortest: int
 
 
-def build_block(ids: list[int], texts: list[str | None], window: int = WINDOW) -> Block | None:
+def build_block(ids: list[int | None], texts: list[str | None], window: int = WINDOW) -> Block | None:
     """None if no item has a word."""
     column = pa.array(texts, pa.string())
     parts, counts = [], []
@@ -72,7 +79,7 @@ def build_block(ids: list[int], texts: list[str | None], window: int = WINDOW) -
         order = np.argsort(inverse.ravel(), kind="stable")
         first = np.searchsorted(inverse.ravel()[order], np.arange(len(rows) + 1))
         windows.append((size, rows, first, at[order], item[order], start))
-    return Block(np.array(ids, dtype=np.int64), vocabulary, seq, windows, int(count.max()), int(sizes[sizes > 0].min()))
+    return Block(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids]), vocabulary, seq, windows, int(count.max()), int(sizes[sizes > 0].min()))
 
 
 def suffix_array(seq: np.ndarray, at: np.ndarray, depth: int, bits: int) -> np.ndarray:
@@ -175,18 +182,16 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, block: Block):
     return words, hit, np.unique(np.concatenate(pairs), axis=0), np.concatenate(matches)
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[Block]:
-    """The benchmark in blocks of about block_bytes; items without words or id are left out."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The benchmark in blocks of about block_bytes, one at a time; items without words are left out."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = 1 + int(size) // block_bytes
-    out = []
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "text").collect() if n > 1 else items.orderBy("id", "text").collect()
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect() if n > 1 else items.orderBy("id", "text").collect()
         block = build_block([r.id for r in rows], [r.text for r in rows])
         if block is not None:
-            out.append(block)
-    return out
+            yield block
 
 
 MATCHES = "matches array<struct<item_id:long,text_start:int,item_start:int,n_words:int>>"
@@ -222,12 +227,13 @@ def _pass(rows: DataFrame, block: Block | None) -> DataFrame:
                         hit[words.first[row] + x : words.first[row] + y] = True
                 starts, ends, runs = _runs(hit, words.first)
                 found = found[np.lexsort((found[:, 2], found[:, 3], found[:, 1], found[:, 0]))]
-                ids = block.item_ids if block is not None else np.zeros(1, np.int64)
+                ids, known = (block.item_ids, block.known) if block is not None else (np.zeros(1, np.int64), np.zeros(1, bool))
+                pairs = pairs[known[pairs[:, 1]]]
                 pairs = np.unique(np.column_stack([pairs[:, 0], ids[pairs[:, 1]]]), axis=0)
                 new_items = list_array(pairs[:, 1], np.bincount(pairs[:, 0], minlength=n), pa.int64())
                 place = np.append(0, np.cumsum(np.bincount(found[:, 0], minlength=n))).astype(np.int32)
                 structs = pa.StructArray.from_arrays(
-                    [pa.array(ids[found[:, 1]]), pa.array(found[:, 2].astype(np.int32)), pa.array(found[:, 3].astype(np.int32)), pa.array(found[:, 4].astype(np.int32))],
+                    [pa.array(ids[found[:, 1]], mask=~known[found[:, 1]]), pa.array(found[:, 2].astype(np.int32)), pa.array(found[:, 3].astype(np.int32)), pa.array(found[:, 4].astype(np.int32))],
                     ["item_id", "text_start", "item_start", "n_words"],
                 )
                 new_matches = pa.ListArray.from_arrays(pa.array(place), structs)
@@ -249,7 +255,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items: ids (ascending, each once) of items with a window in the text; starts
     and ends: runs of hit words; matches: longest verbatim matches of at least a
     window.  A null or empty text has no words.  Rows with equal ids are judged
-    each for itself; an empty benchmark or table gives no hits or no rows.
+    each for itself; an item without an id counts for hits and matches but is in no
+    list of items; an empty benchmark or table gives no hits or no rows.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -260,17 +267,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.array().cast("array<long>").alias("items"),
         F.array().cast(MATCHES.split(" ", 1)[1]).alias("matches"),
     )
-    for block in benchmark_blocks(benchmark, block_bytes=block_bytes) or [None]:
+    block = None
+    for k, block in enumerate(benchmark_blocks(benchmark, block_bytes=block_bytes), 1):
         rows = _pass(rows, block)
+        if k % CHAINED == 0:
+            rows = materialize(rows, "benchmark-hits")
+    if block is None:
+        rows = _pass(rows, None)
     lengths = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.select("doc_id", "n_words", lengths.alias("n_hit"), "items", "starts", "ends", "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any benchmark window, with all their columns; no shuffle."""
+    """The rows of docs without any benchmark window, with all their columns; no shuffle.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated
+    rows are judged each for itself; items without an id count like others; an empty
+    table gives no rows.
+    """
     at = docs.columns.index(text_col)
     out = docs
-    for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
+    for k, block in enumerate(benchmark_blocks(benchmark, block_bytes=block_bytes), 1):
 
         def keep(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,4 +299,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(keep, docs.schema)
+        if k % CHAINED == 0:
+            out = materialize(out, "benchmark-free")
     return out

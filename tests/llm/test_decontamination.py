@@ -81,12 +81,23 @@ def test_suffix_array_order():
 def test_odd_tables(spark, odd_docs, no_docs):
     items = bench(spark, [(1, "a b c d e f"), (None, "other words")])
     rows = sx.contamination(odd_docs, items).collect()
-    assert len(rows) == 8 and sum(r.n_hit > 0 for r in rows) == 4
+    assert len(rows) == 8 and sum(r.n_hit > 0 for r in rows) == 5
+    assert [(r.items, [m.item_id for m in r.matches]) for r in rows if r.doc_id == 2] == [([], [None])]  # an item without an id
     assert sx.contamination(no_docs, items).count() == 0
     none = sx.contamination(odd_docs, bench(spark, [])).collect()
     assert all(r.n_hit == 0 for r in none) and sorted(r.n_words for r in none) == [0, 0, 0, 4, 6, 6, 6, 6]
     kept = sx.decontaminate(odd_docs, items)
-    assert kept.columns == odd_docs.columns and kept.count() == 4
+    assert kept.columns == odd_docs.columns and kept.count() == 3
+    assert sx.decontaminate(no_docs, items).count() == 0 and sx.decontaminate(odd_docs, bench(spark, [])).count() == 8
+
+
+def test_state_between_many_blocks(spark, docs, corpus, monkeypatch):
+    """As many blocks as items, written to the shared folder after every second one."""
+    monkeypatch.setattr(sx, "CHAINED", 2)
+    items = bench(spark, [(k, corpus[3 * k][1]) for k in range(6)])
+    many = {r.doc_id: (r.n_hit, r.items) for r in sx.contamination(docs, items, block_bytes=40).collect()}
+    one = {r.doc_id: (r.n_hit, r.items) for r in sx.contamination(docs, items).collect()}
+    assert many == one and {r.doc_id for r in sx.decontaminate(docs, items, block_bytes=40).collect()} == {i for i, x in one.items() if not x[0]}
 
 
 def test_query_digest(spark):
