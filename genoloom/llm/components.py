@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import drop, materialize
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -35,7 +35,8 @@ def forest(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "stars")
     mark = _mark(edges)
     while mark[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
+        drop(before)
         now = _mark(edges)
         if now == mark:
             break

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import forest
-from .store import materialize, release_shuffles
+from .store import drop, materialize, release_shuffles
 from .textkernel import LOWER, SPACED, Words, inside_one_text, list_array, mix64, ngram_hashes, signed, string_chunks
 
 SKETCH_BITS = 17
@@ -299,8 +299,10 @@ def _open(buckets: DataFrame, stars: DataFrame | None, percent: int, per_member:
 
 def _within(few: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link; at their first common element alone."""
-    few = few.join(nodes.select("node", "prefix"), "node").withColumn("earlier", F.when(F.col("pos") >= 0, F.coalesce("earlier", F.expr("slice(prefix, 1, greatest(pos, 0))"))))
     columns = ("node", "n", "w", "pos", "mask", "earlier", "label")
+    own = nodes.select("node", "prefix").join(few.select("node").distinct(), "node", "left_semi")
+    few = few.select("key", *[c for c in columns if c != "node"], "major", "node").join(own, "node")
+    few = few.withColumn("earlier", F.when(F.col("pos") >= 0, F.coalesce("earlier", F.expr("slice(prefix, 1, greatest(pos, 0))")))).drop("prefix")
     others = few.where("label <> major").select("key", *[F.col(c).alias(f"u_{c}") for c in columns], "major")
     every = few.select("key", *[F.col(c).alias(f"v_{c}") for c in columns])
     once = (F.col("v_label") == F.col("major")) | (F.col("u_node") < F.col("v_node"))
@@ -322,6 +324,7 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
     fields = ("key", "node", "n", "w", "pos", "mask", "earlier", "common")
     while True:
         rest = _open(buckets, stars, percent, per_member)
+        drop(buckets)
         kinds = {r.kind for r in rest.select("kind").distinct().collect()}
         if not kinds:
             break
@@ -334,7 +337,8 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         likely = materialize(_may_overlap(pairs, nodes, percent), "jaccard-pairs")
         release_shuffles(spark)
         found = _verify(likely, texts, size, percent)
-        stars = forest(found if stars is None else found.unionByName(stars))
+        known, stars = stars, forest(found if stars is None else found.unionByName(stars))
+        drop(likely, known)
         release_shuffles(spark)
         parts = []
         if "new" in kinds:
@@ -353,7 +357,9 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
         for part in parts[1:]:
             buckets = buckets.unionByName(part)
         buckets = materialize(buckets, "jaccard-buckets")
+        drop(rest)
         release_shuffles(spark)
+    drop(rest, texts)
     return stars if stars is not None else spark.createDataFrame([], "u long, v long")
 
 
@@ -370,10 +376,14 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     counts, sizes = _sketch(known, size)
-    rows = materialize(_prepare(docs, size, percent, counts, boundary(sizes, percent)), "jaccard-sets")
+    sets = materialize(_prepare(docs, size, percent, counts, boundary(sizes, percent)), "jaccard-sets")
+    rows = materialize(sets.select("doc_id", "text_hash", "n", "node"), "jaccard-rows")
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
-    nodes = materialize(some.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "n", "prefix", "subsets", "bins", "masks", "common"), "jaccard-nodes")
+    whole = sets.where("n > 0 and doc_id is not null").join(low, "node").where("doc_id = low").dropDuplicates(["node"])
+    nodes = materialize(whole.select("node", "n", "prefix", "subsets", "bins", "masks", "common"), "jaccard-nodes")
+    drop(sets)
+    del whole
     release_shuffles(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:

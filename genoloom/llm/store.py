@@ -39,7 +39,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -60,6 +62,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing reads any more; other frames and None are left."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
 def clean() -> None:
     """Removes every table made by this process."""
     while _made:
