@@ -58,8 +58,8 @@ _FULL = 32_767
 PER_MEMBER = 16
 #: The same for buckets of deltas, which seldom share more than one.
 PER_DELTA = 4 * PER_MEMBER
-#: Longest prefix whose entries carry a mask of the elements before them.
-MASKED = 16
+#: Elements before its own that an entry carries, so that a pair with several in common is met about once.
+EARLIER = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 
 def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
-    """doc_id, text_hash, n, node, prefix, subsets, bins, masks, common (how frequent its elements are) of every row."""
+    """doc_id, text_hash, n, node, prefix, subsets, bins, common (how frequent its elements are) of every row."""
     order_key = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
     frequency = np.log2(np.maximum(counts, 1)).astype(np.float32)
     listed = -(-percent * (light + 1) // 100)  # the smallest set that a heavy one can be similar to
@@ -148,10 +148,6 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                 order = np.lexsort((h, order_key[_slot(h)], doc))
                 take = np.where(n >= max(listed, 1), n - (percent * n + 99) // 100 + 1, 0)
                 prefix = h[order][np.arange(len(h)) - np.repeat(first, n) < np.repeat(take, n)]
-                masks, masked = [np.zeros(0, np.uint64)], np.where(take <= MASKED, take, 0)
-                bit = np.uint64(1) << (prefix & np.uint64(63))
-                for at, k in zip((np.cumsum(take) - take)[masked > 0].tolist(), masked[masked > 0].tolist(), strict=True):
-                    masks.append(np.append(np.uint64(0), np.bitwise_or.accumulate(bit[at : at + k])[:-1]))
                 keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * rows
                 for k in np.unique(n[(n > 0) & (n <= light)]).tolist():
                     at = np.flatnonzero(n == k)
@@ -168,13 +164,13 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                     [
                         batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)),
                         pa.array(signed(node), mask=n == 0), list_array(signed(prefix), take, pa.int64()), list_array(signed(np.concatenate(keys)) if rows else np.zeros(0, np.int64), per, pa.int64()),
-                        list_array(bins, np.full(rows, BINS), pa.int16()), list_array(signed(np.concatenate(masks)), masked, pa.int64()),
+                        list_array(bins, np.full(rows, BINS), pa.int16()),
                         pa.array((common * 1024).astype(np.int32)),
                     ],
-                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins", "masks", "common"],
+                    ["doc_id", "text_hash", "n", "node", "prefix", "subsets", "bins", "common"],
                 )
 
-    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>, masks array<long>, common int"
+    schema = "doc_id long, text_hash long, n long, node long, prefix array<long>, subsets array<long>, bins array<smallint>, common int"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, schema)
 
 
@@ -224,8 +220,13 @@ def _deltas(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(differ, "u long, v long, n_u long, n_v long, delta array<long>")
 
 
+def _before(elements: str) -> F.Column:
+    """The last of the elements before place pos, EARLIER at most."""
+    return F.expr(f"slice({elements}, greatest(pos - {EARLIER}, 0) + 1, greatest(least(pos, {EARLIER}), 0))")
+
+
 def _delta_keys(deltas: DataFrame, percent: int) -> DataFrame:
-    """key, node, w (size of the delta), pos, mask, earlier (elements): by prefixes of the deltas of nodes v from their centres u, where several nodes have the element.
+    """key, node, w (size of the delta), pos, earlier (the last elements before): by prefixes of the deltas of nodes v from their centres u, where several nodes have the element.
 
     k = (100 - percent) / (100 + percent): two sets are similar if they differ by
     k (n + m) elements at most, and the deltas of v and w differ by what v and w
@@ -244,22 +245,21 @@ def _delta_keys(deltas: DataFrame, percent: int) -> DataFrame:
     counts = each.groupBy("u", "x").agg(F.count("*").alias("c"))
     ranked = each.join(counts, ["u", "x"]).groupBy("u", "v", "w", "take").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("all"))
     first = ranked.select("u", F.col("v").alias("node"), "w", "all", F.posexplode(F.slice("all", F.lit(1), F.col("take"))).alias("pos", "e")).where("e.c > 1")
-    return first.select(F.xxhash64("u", "e.x").alias("key"), "node", "w", "pos", F.lit(0).cast("long").alias("mask"), F.expr("transform(slice(all, 1, pos), y -> y.x)").alias("earlier"))
+    return first.select(F.xxhash64("u", "e.x").alias("key"), "node", "w", "pos", F.transform(_before("all"), lambda y: y["x"]).alias("earlier"))
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     """Whether sizes and places in the common order allow a link (place -1: unknown).
 
     What is ordered, w elements of each, is the set itself or its delta from one
-    centre; in both cases (w + w' - k (n + n')) / 2 elements must be common.  Those
-    before this one are none if the masks of both have no bit in common, and
-    otherwise as many as the shorter of both beginnings at most.  Where the earlier
-    elements of both are known, a pair with one in common is met at that one.
+    centre; in both cases (w + w' - k (n + n')) / 2 elements must be common.  A
+    pair is judged as if this were its first element in common: a similar one
+    passes where that is so, which is enough, and may be refused elsewhere.  It is
+    not met again where both carry one of the same earlier elements.
     """
     n, m, i, j, v, w = (F.col(f"{side}{c}") for c in ("n", "pos", "w") for side in (a, b))
     need = F.ceil((v + w - F.lit((100 - percent) / (100 + percent)) * (n + m)) / 2 - F.lit(1e-6))
-    before = F.when((F.col(f"{a}mask").bitwiseAND(F.col(f"{b}mask")) == 0) | (F.col(f"{a}earlier").isNotNull() & F.col(f"{b}earlier").isNotNull()), 0).otherwise(F.least(i, j))
-    most = before + 1 + F.least(v - i - 1, w - j - 1)
+    most = 1 + F.least(v - i - 1, w - j - 1)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((i < 0) | (j < 0) | (most >= need)) & ~F.coalesce(F.arrays_overlap(f"{a}earlier", f"{b}earlier"), F.lit(False))
 
 
@@ -297,12 +297,16 @@ def _open(buckets: DataFrame, stars: DataFrame | None, percent: int, per_member:
     return materialize(labelled.join(chosen, "key"), "jaccard-open")
 
 
-def _within(few: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link; at their first common element alone."""
-    columns = ("node", "n", "w", "pos", "mask", "earlier", "label")
+def _with_earlier(few: DataFrame, nodes: DataFrame) -> DataFrame:
+    """few with earlier: where it is not known yet, from the node's prefix.  Whole beginnings would grow with the square of a text's length."""
     own = nodes.select("node", "prefix").join(few.select("node").distinct(), "node", "left_semi")
-    few = few.select("key", *[c for c in columns if c != "node"], "major", "node").join(own, "node")
-    few = few.withColumn("earlier", F.when(F.col("pos") >= 0, F.coalesce("earlier", F.expr("slice(prefix, 1, greatest(pos, 0))")))).drop("prefix")
+    return few.join(own, "node").withColumn("earlier", F.when(F.col("pos") >= 0, F.coalesce("earlier", _before("prefix")))).drop("prefix")
+
+
+def _within(few: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of nodes of different components in each bucket whose sizes and places allow a link; at few of their common elements."""
+    columns = ("node", "n", "w", "pos", "earlier", "label")
+    few = _with_earlier(few.select("key", *columns, "major"), nodes)
     others = few.where("label <> major").select("key", *[F.col(c).alias(f"u_{c}") for c in columns], "major")
     every = few.select("key", *[F.col(c).alias(f"v_{c}") for c in columns])
     once = (F.col("v_label") == F.col("major")) | (F.col("u_node") < F.col("v_node"))
@@ -310,18 +314,18 @@ def _within(few: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
-    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, masks, common, a row each."""
+    """u, v: a forest that connects all linked nodes.  nodes: node, n, prefix, subsets, bins, common, a row each."""
     spark = nodes.sparkSession
-    listed = nodes.select("node", "n", "common", "masks", F.posexplode("prefix").alias("pos", "key")).withColumn("mask", F.coalesce(F.get("masks", F.col("pos")), F.lit(-1).cast("long"))).drop("masks")
-    entries = listed.unionByName(nodes.select("node", "n", "common", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("mask"), F.explode("subsets").alias("key")))
+    listed = nodes.select("node", "n", "common", F.posexplode("prefix").alias("pos", "key"))
+    entries = listed.unionByName(nodes.select("node", "n", "common", F.lit(-1).alias("pos"), F.explode("subsets").alias("key")))
     shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("n").cast("int").alias("w"), F.col("pos").cast("int"), "mask", F.lit(None).cast("array<long>").alias("earlier"), "common"), "jaccard-buckets")
+    buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("n").cast("int").alias("w"), F.col("pos").cast("int"), F.lit(None).cast("array<long>").alias("earlier"), "common"), "jaccard-buckets")
     del entries, shared
     release_shuffles(spark)
     texts = materialize(texts_of(buckets.select("node").distinct()), "jaccard-texts")
     release_shuffles(spark)
     stars, per_member = None, PER_MEMBER
-    fields = ("key", "node", "n", "w", "pos", "mask", "earlier", "common")
+    fields = ("key", "node", "n", "w", "pos", "earlier", "common")
     while True:
         rest = _open(buckets, stars, percent, per_member)
         drop(buckets)
@@ -381,7 +385,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
     whole = sets.where("n > 0 and doc_id is not null").join(low, "node").where("doc_id = low").dropDuplicates(["node"])
-    nodes = materialize(whole.select("node", "n", "prefix", "subsets", "bins", "masks", "common"), "jaccard-nodes")
+    nodes = materialize(whole.select("node", "n", "prefix", "subsets", "bins", "common"), "jaccard-nodes")
     drop(sets)
     del whole
     release_shuffles(docs.sparkSession)

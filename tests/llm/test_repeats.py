@@ -152,6 +152,32 @@ def test_large_groups_make_few_candidates(spark, monkeypatch):
         assert sum(compared) < 30 * len(rows), compared
 
 
+def test_entries_carry_few_earlier_elements(spark, monkeypatch):
+    """Long texts that share passages: an entry does not grow with its text, and no link is lost, however few elements it carries."""
+    rng = random.Random(9)
+    passages = [[f"p{k}.{j}" for j in range(30)] for k in range(10)]
+    rows = []
+    for k in range(20):
+        w = [f"y{k}.{j}" for j in range(12)] + [x for p in rng.sample(passages, 5) for x in p]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join([*w[:80], "other", *w[81:]])), (3 * k + 2, " ".join([*w[20:], *w[:20]]))]
+    carried = []
+
+    def counted(few, nodes, own=jc._with_earlier):
+        got = own(few, nodes)
+        carried.append(got.agg(F.max(F.size("earlier"))).first()[0])
+        return got
+
+    monkeypatch.setattr(jc, "_with_earlier", counted)
+    monkeypatch.setattr(jc, "boundary", lambda sizes, percent: 0)
+    monkeypatch.setattr(jc, "PER_MEMBER", 100)
+    for most in (jc.EARLIER, 0):
+        monkeypatch.setattr(jc, "EARLIER", most)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.similar_groups(frame(spark, rows).repartition(4), 3, 80).collect()}
+        assert got == brute_groups(rows, 3, 80)
+        assert carried and max(carried) <= most
+        carried.clear()
+
+
 def test_sizes_far_apart_in_one_bucket(spark, monkeypatch):
     """A bucket of many sizes is parted by bands, and links between neighbouring bands stay."""
     monkeypatch.setattr(jc, "PER_MEMBER", 0)
