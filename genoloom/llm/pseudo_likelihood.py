@@ -98,8 +98,7 @@ def _sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(key, kind="stable")  # a radix sort, at this width
     ordered = key[order]
     last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
-    total = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
-    return ordered[last], np.diff(total, axis=0, prepend=0).astype(np.float32)
+    return ordered[last], np.add.reduceat(rows[order], np.append(0, last[:-1] + 1), axis=0)
 
 
 class Network:
@@ -140,12 +139,16 @@ class Network:
     def _forward(self, context: np.ndarray, token: np.ndarray):
         p = self.p
         x = p["embed"][context].reshape(len(context), -1)
-        h = np.tanh(x @ p["w1"] + p["b1"])
+        h = x @ p["w1"]
+        h += p["b1"]
+        np.tanh(h, out=h)
         a, b = token >> CLASS_BITS, token & (SIDE - 1)
-        la = h @ p["wa"] + p["ba"]
+        la = h @ p["wa"]
+        la += p["ba"]
         scale = 1 + p["ea"][a]
         g = h * scale
-        lb = g @ p["wb"] + p["bb"][a]
+        lb = g @ p["wb"]
+        lb += p["bb"][a]
         ea, za = self._softmax(la)
         eb, zb = self._softmax(lb)
         rows = np.arange(len(token))
@@ -162,6 +165,8 @@ class Network:
 
     def step(self, context: np.ndarray, token: np.ndarray, rate: float) -> float:
         """Learns the tokens; the sum of their log-probabilities before."""
+        by_class = np.argsort((token >> CLASS_BITS).astype(np.uint8), kind="stable")
+        context, token = context[by_class], token[by_class]
         log, (x, h, a, b, da, za, scale, g, db, zb, rows) = self._forward(context, token)
         p, n = self.p, np.float32(len(token))
         da *= (1 / (n * za))[:, None]
@@ -170,9 +175,9 @@ class Network:
         db[rows, b] -= 1 / n
         dg = db @ p["wb"].T
         dh = (da @ p["wa"].T + dg * scale) * (1 - h * h)
-        of_class = np.zeros((len(token), SIDE), np.float32)
-        of_class[rows, a] = 1
-        ga, gb = of_class.T @ (dg * h), of_class.T @ db
+        ga, gb = np.zeros((SIDE, HIDDEN), np.float32), np.zeros((SIDE, SIDE), np.float32)
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        ga[a[first]], gb[a[first]] = np.add.reduceat(dg * h, first, axis=0), np.add.reduceat(db, first, axis=0)
         used, ge = _sums_by(context.ravel(), (dh @ p["w1"].T).reshape(-1, WIDTH))
         seen = self.seen["embed"][used] + ge * ge
         self.seen["embed"][used] = seen
