@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import forest
 from .store import drop, materialize, release_shuffles
-from .textkernel import LOWER, SPACED, Words, inside_one_text, list_array, mix64, ngram_hashes, signed, string_chunks
+from .textkernel import LOWER, SPACED, Words, inside_one_text, list_array, mix64, ngram_hashes, ordered, signed, string_chunks
 
 SKETCH_BITS = 17
 #: Cost of one inverted-list entry, with its scan, in subset keys.
@@ -60,6 +60,8 @@ PER_MEMBER = 16
 PER_DELTA = 4 * PER_MEMBER
 #: Elements before its own that an entry carries, so that a pair with several in common is met about once.
 EARLIER = 8
+#: Nodes whose texts are looked up by a broadcast; for more, all texts are shuffled.
+LOOKED_UP = 1 << 19
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
             doc.append(rows)
             h.append(ngram_hashes(words.hash, k)[words.first[rows]])
     d, x = np.concatenate(doc), np.concatenate(h)
-    order = np.lexsort((x, d))
+    order = ordered(d, len(count), x)
     d, x = d[order], x[order]
     new = np.append(True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])) if len(d) else np.zeros(0, bool)
     return x[new], np.bincount(d[new], minlength=len(count))
@@ -125,7 +127,7 @@ def boundary(sizes: np.ndarray, percent: int) -> int:
 
 def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light: int) -> DataFrame:
     """doc_id, text_hash, n, node, prefix, subsets, bins, common (how frequent its elements are) of every row."""
-    order_key = np.minimum(counts, (1 << 31) - 1).astype(np.int32)
+    order_key = np.minimum(counts, (1 << 31) - 1)
     frequency = np.log2(np.maximum(counts, 1)).astype(np.float32)
     listed = -(-percent * (light + 1) // 100)  # the smallest set that a heavy one can be similar to
 
@@ -145,7 +147,7 @@ def _prepare(docs: DataFrame, size: int, percent: int, counts: np.ndarray, light
                     total[some] = np.add.reduceat(mixed, first[some])
                     other[some] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first[some])
                 node = mix64(total ^ mix64(other) ^ n.astype(np.uint64))
-                order = np.lexsort((h, order_key[_slot(h)], doc))
+                order = ordered(doc << 31 | order_key[_slot(h)], rows << 31, h)
                 take = np.where(n >= max(listed, 1), n - (percent * n + 99) // 100 + 1, 0)
                 prefix = h[order][np.arange(len(h)) - np.repeat(first, n) < np.repeat(take, n)]
                 keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * rows
@@ -183,7 +185,10 @@ def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v, text_u, text_v of those pairs u, v of nodes."""
+    """u, v, text_u, text_v of those pairs u, v of nodes; pairs are read twice."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    if wanted.limit(LOOKED_UP + 1).count() <= LOOKED_UP:
+        texts = texts.join(F.broadcast(wanted), "node", "left_semi")
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
@@ -318,7 +323,7 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
     spark = nodes.sparkSession
     listed = nodes.select("node", "n", "common", F.posexplode("prefix").alias("pos", "key"))
     entries = listed.unionByName(nodes.select("node", "n", "common", F.lit(-1).alias("pos"), F.explode("subsets").alias("key")))
-    shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    shared = entries.groupBy("key").count().where("count > 1").select("key")
     buckets = materialize(entries.join(shared, "key").select("key", "node", F.col("n").cast("int"), F.col("n").cast("int").alias("w"), F.col("pos").cast("int"), F.lit(None).cast("array<long>").alias("earlier"), "common"), "jaccard-buckets")
     del entries, shared
     release_shuffles(spark)
@@ -352,7 +357,9 @@ def _links(nodes: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
             parts.append(rest.where("kind = 'wide'").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).select(*fields))
         if "many" in kinds:
             centred = met.where("kind = 'many'").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+            centred = materialize(centred, "jaccard-centred")
             keys = _delta_keys(_deltas(centred, texts, size), percent)
+            drop(centred)
             parts.append(keys.join(nodes.select("node", F.col("n").cast("int").alias("n"), "common"), "node").select(*fields))
             per_member = PER_DELTA
         if not parts:
@@ -384,8 +391,11 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     rows = materialize(sets.select("doc_id", "text_hash", "n", "node"), "jaccard-rows")
     some = rows.where("n > 0 and doc_id is not null")
     low = some.groupBy("node").agg(F.min("doc_id").alias("low"))
-    whole = sets.where("n > 0 and doc_id is not null").join(low, "node").where("doc_id = low").dropDuplicates(["node"])
-    nodes = materialize(whole.select("node", "n", "prefix", "subsets", "bins", "common"), "jaccard-nodes")
+    # an equality with low would be a key of the join, and whole sets would be shuffled again for what follows by node
+    whole = sets.where("n > 0 and doc_id is not null").join(low, "node").where("doc_id <= low")
+    single = some.groupBy("doc_id").count().where("count > 1").isEmpty()
+    one_each = (lambda rows: rows) if single else (lambda rows: rows.dropDuplicates(["node"]))
+    nodes = materialize(one_each(whole.select("node", "n", "prefix", "subsets", "bins", "common")), "jaccard-nodes")
     drop(sets)
     del whole
     release_shuffles(docs.sparkSession)
@@ -393,7 +403,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     def texts_of(wanted: DataFrame) -> DataFrame:
         ids = some.select("node", "doc_id", "text_hash").join(low, "node").where("doc_id = low").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
         ids = ids.select("node", F.col("x.doc_id").alias("doc_id"), F.col("x.text_hash").alias("text_hash"))
-        return known.withColumn("text_hash", F.xxhash64("text")).join(ids, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+        found = known.withColumn("text_hash", F.xxhash64("text")).join(ids, ["doc_id", "text_hash"]).select("node", "text")
+        return one_each(found)
 
     stars = _links(nodes, texts_of, size, percent)
     joined = low.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -151,6 +151,20 @@ def inside_one_text(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(words.doc)) + n <= ends)
 
 
+def ordered(high: np.ndarray, end: int, h: np.ndarray) -> np.ndarray:
+    """np.lexsort((h, high)) for high from 0 to before end, equal pairs in any order: one sort by what fits into 64 bits, then those that tie in it."""
+    bits = np.uint64(max(end, 2).bit_length())
+    key = (high.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    if same.any():
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        at = order[tied]
+        order[tied] = at[np.lexsort((h[at], key[tied]))]
+    return order
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i:i+width], by doubling."""
     size = 1

@@ -188,6 +188,28 @@ def test_sizes_far_apart_in_one_bucket(spark, monkeypatch):
     assert got == brute_groups(rows, 1, 80)
 
 
+def test_texts_of_pairs_alone_are_shuffled(spark, monkeypatch):
+    """Few pairs do not shuffle all texts; with more nodes than may be looked up the same pairs come from a join of all."""
+    texts = materialize(spark.range(3000).select(F.col("id").alias("node"), F.concat(F.lit("text "), F.col("id")).alias("text")), "t")
+    pairs = materialize(spark.createDataFrame([(1, 7), (1, 2999)], "u long, v long"), "p")
+    for most, looked_up in ((1 << 19, True), (2, False)):
+        monkeypatch.setattr(jc, "LOOKED_UP", most)
+        got = jc._with_texts(pairs, texts)
+        assert sorted(map(tuple, got.collect())) == [(1, 7, "text 1", "text 7"), (1, 2999, "text 1", "text 2999")]
+        assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == looked_up
+
+
+def test_order_within_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, end in ((0, 1), (4000, 3), (4000, 1 << 45)):
+        high, h = rng.integers(0, end, n), rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        h[::3] &= np.uint64(255)  # equal in all bits that fit beside a large ``high``
+        got, want = jc.ordered(high, end, h), np.lexsort((h, high))
+        assert (high[got] == high[want]).all() and (h[got] == h[want]).all()
+
+
 def test_boundary_is_the_cheapest():
     import numpy as np
 
