@@ -39,8 +39,10 @@ def counts(raw: DataFrame, variants: DataFrame, samples: DataFrame) -> DataFrame
     return parts.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(n) for x, n in (("a", "n_samples"), ("b", "n_variants_pre_filter"), ("c", "n_variants_post_filter"))])
 
 
-def missingness(dosages: DataFrame) -> DataFrame:
+def missingness(dosages: DataFrame | cells.Packed) -> DataFrame:
     """out_ord, missing, n over all rows, of whatever chromosome."""
+    if isinstance(dosages, cells.Packed):
+        return cells.packed_sums(dosages.rows, dosages).select(F.col("place").alias("out_ord"), (F.col("n") - F.col("called")).alias("missing"), "n")
     return cells.place_sums(dosages).select("out_ord", (F.col("n") - F.col("called")).alias("missing"), "n")
 
 
