@@ -16,6 +16,7 @@ from .conftest import DATA
 SMALL_ROWS = [
     "afs_diploid",
     "afs_maxmiss_poly",
+    "afs_pivot_counts",
 ]
 
 
