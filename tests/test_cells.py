@@ -17,6 +17,7 @@ SMALL_ROWS = [
     "afs_diploid",
     "afs_maxmiss_poly",
     "afs_pivot_counts",
+    "afs_population_subset",
 ]
 
 
