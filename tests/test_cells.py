@@ -18,6 +18,7 @@ SMALL_ROWS = [
     "afs_maxmiss_poly",
     "afs_pivot_counts",
     "afs_population_subset",
+    "afs_pseudohap_adjusted",
 ]
 
 
