@@ -19,6 +19,7 @@ SMALL_ROWS = [
     "afs_pivot_counts",
     "afs_population_subset",
     "afs_pseudohap_adjusted",
+    "afs_sex_chrom",
 ]
 
 
