@@ -20,6 +20,7 @@ SMALL_ROWS = [
     "afs_population_subset",
     "afs_pseudohap_adjusted",
     "afs_sex_chrom",
+    "bind_sample_counters",
 ]
 
 
