@@ -21,6 +21,7 @@ SMALL_ROWS = [
     "afs_pseudohap_adjusted",
     "afs_sex_chrom",
     "bind_sample_counters",
+    "dosage_swap",
 ]
 
 
