@@ -22,6 +22,7 @@ SMALL_ROWS = [
     "afs_sex_chrom",
     "bind_sample_counters",
     "dosage_swap",
+    "gate_target_call_rate",
 ]
 
 
