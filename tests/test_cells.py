@@ -23,6 +23,7 @@ SMALL_ROWS = [
     "bind_sample_counters",
     "dosage_swap",
     "gate_target_call_rate",
+    "pseudohap_sidecar",
 ]
 
 
