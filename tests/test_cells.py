@@ -24,6 +24,7 @@ SMALL_ROWS = [
     "dosage_swap",
     "gate_target_call_rate",
     "pseudohap_sidecar",
+    "inspect_missingness",
 ]
 
 
