@@ -25,6 +25,7 @@ SMALL_ROWS = [
     "gate_target_call_rate",
     "pseudohap_sidecar",
     "inspect_missingness",
+    "pseudohap_mix",
 ]
 
 
