@@ -26,6 +26,7 @@ SMALL_ROWS = [
     "pseudohap_sidecar",
     "inspect_missingness",
     "pseudohap_mix",
+    "pseudohap_status",
 ]
 
 
