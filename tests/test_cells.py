@@ -27,6 +27,7 @@ SMALL_ROWS = [
     "inspect_missingness",
     "pseudohap_mix",
     "pseudohap_status",
+    "bind_long",
 ]
 
 
